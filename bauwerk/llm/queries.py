@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from .bytebpe import op10_byte_bpe
+from .jaccard import op2_ngram_jaccard
+from .lattice import op8_lattice_score
 from .linededup import OP3_SQL, op3_line_dedup
 from .mixing import op1_mixing
+from .secrets import op6_secret_scan
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_line_dedup": op3_line_dedup,
+    "op6_secret_scan": op6_secret_scan,
+    "op8_lattice_score": op8_lattice_score,
+    "op10_byte_bpe": op10_byte_bpe,
 }
 
 ORACLE_SQL = {"op3_line_dedup": OP3_SQL}
