@@ -3,18 +3,26 @@
 from __future__ import annotations
 
 from .bytebpe import op10_byte_bpe
+from .compression import op4_compression_quality
+from .crf import op5_crf_toxicity
 from .jaccard import op2_ngram_jaccard
 from .lattice import op8_lattice_score
 from .linededup import OP3_SQL, op3_line_dedup
 from .mixing import op1_mixing
+from .neardup import op9_embedding_near_dup
+from .postings import op7_posting_lists
 from .secrets import op6_secret_scan
 
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_line_dedup": op3_line_dedup,
+    "op4_compression_quality": op4_compression_quality,
+    "op5_crf_toxicity": op5_crf_toxicity,
     "op6_secret_scan": op6_secret_scan,
+    "op7_posting_lists": op7_posting_lists,
     "op8_lattice_score": op8_lattice_score,
+    "op9_embedding_near_dup": op9_embedding_near_dup,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
