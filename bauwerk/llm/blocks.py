@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: A block is closed once its texts have this many characters: what a task holds in memory.
-BLOCK_CHARS = 32_000_000
+BLOCK_CHARS = 24_000_000
 #: Rows of documents' codes in one outgoing batch.
 OUT_ROWS = 2_000
 
@@ -73,18 +73,41 @@ class Block:
             at += n
 
 
-def read_blocks(batches: Iterator[pa.RecordBatch], split: Callable[[object], list], to_bytes: bool) -> Iterator[Block]:
-    """Blocks of the partition. Batches have columns key, mark, text, part; split gives a text's words, which are str
-    that become bytes if to_bytes holds. A null text has no words. A block is named by the scan's partition, which
-    part tells: under a union, a task's own number is another."""
+class Index(dict):
+    """Numbers for keys, in order of appearance."""
+
+    def __missing__(self, key):
+        self[key] = number = len(self)
+        return number
+
+
+class WordCoder:
+    """Codes of the words that ``split`` finds."""
+
+    def __init__(self, split: Callable[[bytes], list[bytes]]):
+        self.split, self.index = split, Index()
+
+    def codes(self, text: bytes) -> np.ndarray:
+        words = self.split(text)
+        return np.fromiter(map(self.index.__getitem__, words), np.int32, len(words))
+
+    def words(self) -> list[bytes]:
+        return list(self.index)
+
+
+def read_blocks(batches: Iterator[pa.RecordBatch], coder: Callable[[], object]) -> Iterator[Block]:
+    """Blocks of the partition. Batches have columns key, mark, text, part; each block has a coder of its own, which
+    gives a text's codes and in the end its words. A null text has no words. A block is named by the scan's partition,
+    which part tells: under a union, a task's own number is another."""
     base, made = 0, 0
-    index: dict = {}
+    own = coder()
+    none = np.zeros(0, np.int32)
     parts, sizes, ids, marks, chars = [], [], [], [], 0
 
     def close() -> Block:
-        words = [w.encode() for w in index] if to_bytes else list(index)
-        codes = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        return Block(base + made, words, codes, sizes, ids, marks)
+        codes = np.concatenate(parts) if parts else none
+        parts.clear()
+        return Block(base + made, own.words(), codes, sizes, ids, marks)
 
     for batch in batches:
         keys, flags = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -92,17 +115,15 @@ def read_blocks(batches: Iterator[pa.RecordBatch], split: Callable[[object], lis
             base = batch.column(3)[0].as_py() << 24
         for key, mark, text in zip(keys, flags, batch.column(2)):
             text = text.as_py()
-            words = split(text) if text else []
-            known = index.setdefault
-            parts.append(np.fromiter([known(w, len(index)) for w in words], np.int64, len(words)))
-            sizes.append(len(words))
+            parts.append(own.codes(text) if text else none)
+            sizes.append(len(parts[-1]))
             ids.append(key)
             marks.append(mark)
             chars += len(text or "")
             if chars >= BLOCK_CHARS:
                 yield close()
                 made += 1
-                index, parts, sizes, ids, marks, chars = {}, [], [], [], [], 0
+                own, parts, sizes, ids, marks, chars = coder(), [], [], [], [], 0
     if ids:
         yield close()
 
@@ -127,11 +148,11 @@ def code_rows(key_type: T.DataType) -> T.StructType:
     return T.StructType([*CODE_FIELDS, T.StructField("key", key_type)])
 
 
-def scan_words(docs: DataFrame, split, buckets: int, to_bytes: bool, counted: bool) -> DataFrame:
+def scan_words(docs: DataFrame, coder, buckets: int, counted: bool) -> DataFrame:
     """Each block's distinct words by bucket. docs: key, mark, text. counts: occurrences in documents whose mark is false."""
 
     def run(batches):
-        for block in read_blocks(batches, split, to_bytes):
+        for block in read_blocks(batches, coder):
             bucket = word_buckets(block.words, buckets)
             if counted:
                 seen = np.repeat(~np.array(block.marks, bool), block.sizes)
@@ -153,13 +174,13 @@ def scan_words(docs: DataFrame, split, buckets: int, to_bytes: bool, counted: bo
 WORD_ARROW = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
 
 
-def scan_codes(docs: DataFrame, split, to_bytes: bool) -> DataFrame:
+def scan_codes(docs: DataFrame, coder) -> DataFrame:
     """Each document's codes into the words of its block."""
     schema = code_rows(docs.schema[0].dataType)
 
     def run(batches):
         key_type = None
-        for block in read_blocks(_noting(batches, kept := []), split, to_bytes):
+        for block in read_blocks(_noting(batches, kept := []), coder):
             key_type = key_type or kept[0]
             rows = []
             for key, mark, codes in block.documents():

@@ -229,8 +229,9 @@ def score_documents(docs: DataFrame, held_out: object, start: Pieces | None = No
     rows = blocks.block_input(docs, held_out, F.col("text").cast("binary"))
     key_spark = rows.schema[0].dataType
     key_type = blocks.arrow_type(key_spark)
+    coder = lambda: blocks.WordCoder(split_words)
     ends = rows.where("NOT mark").count()
-    words = blocks.scan_words(rows, split_words, n, False, True)
+    words = blocks.scan_words(rows, coder, n, True)
     vocabulary = materialise(words.repartition(n, "bucket").mapInArrow(_gather, VOCABULARY))
     known = vocabulary.where("kind = 0").agg(F.sum("types").alias("types"), F.sum("tokens").alias("tokens")).first()
     train_tokens = (known["tokens"] or 0) + ends
@@ -287,7 +288,7 @@ def score_documents(docs: DataFrame, held_out: object, start: Pieces | None = No
         + [T.StructField(x, T.DoubleType()) for x in ("base_score", "score")]
     )
     found = vocabulary.repartition(n, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(weigh, schema)
-    met = blocks.meet(found, blocks.scan_codes(rows, split_words, False), n)
+    met = blocks.meet(found, blocks.scan_codes(rows, coder), n)
     return met.mapInArrow(lambda b: blocks.by_block(b, list, learn, use), out)
 
 
