@@ -36,7 +36,7 @@ ORDERS = 3
 BLOCK_CHARS = 24_000_000
 #: Pivot rounds before the pairs across components that are left are verified one by one, and how many of
 #: these a round's incidence may be worth before another round is taken instead.
-ROUNDS = 6
+ROUNDS = 4
 PAIRS_PER_ROW = 8
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -261,11 +261,24 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, orders: int) -> Da
     return both.where(common * 100 >= (F.col("a_n") + F.col("b_n") - common) * percent).select("a", "b")
 
 
+def candidate_groups(sets: DataFrame) -> DataFrame:
+    """(set, n, token) of the tokens that several sets have in their prefixes, one token for each group of sets.
+
+    Near copies share dozens of prefix tokens, and these have the same members: tokens whose number of members and sums of
+    two member hashes agree ask for the same pairs, so one of them is enough.
+    """
+    tokens = sets.select("set", "n", F.explode("prefix").alias("token"))
+    wide = lambda seed: F.sum(F.xxhash64(F.lit(seed), "set").cast("decimal(20,0)"))
+    members = tokens.groupBy("token").agg(F.count("*").alias("m"), wide(1).alias("h1"), wide(2).alias("h2")).where("m > 1")
+    chosen = members.groupBy("m", "h1", "h2").agg(F.min("token").alias("token")).select("token")
+    return materialise(tokens.join(chosen, "token", "left_semi"))
+
+
 def link_sets(sets: DataFrame, percent: int, orders: int, rounds: int = ROUNDS, worth: int = PAIRS_PER_ROW) -> DataFrame:
     """Components (node, component) of the sets that link with another."""
     near = f"least(n, p.n) * 100 >= greatest(n, p.n) * {percent}"
-    tokens = materialise(sets.select("set", "n", F.explode("prefix").alias("token")))
-    labels = edges = tested = None
+    tokens = candidate_groups(sets)
+    labels = edges = before = None
     for turn in range(rounds + 1):
         named = tokens if labels is None else tokens.join(labels, F.expr("set = node"), "left")
         named = named.select("set", "n", "token", (F.col("set") if labels is None else F.coalesce("component", "set")).alias("comp"))
@@ -275,21 +288,21 @@ def link_sets(sets: DataFrame, percent: int, orders: int, rounds: int = ROUNDS,
         left = groups.agg(F.sum("m").alias("rows"), F.sum((F.col("m") * F.col("m") - F.col("m2")) / 2).alias("pairs")).first()
         if not left["rows"]:
             break
-        last = turn == rounds or left["pairs"] <= worth * left["rows"]
+        # Pivots pay while they shrink what is left; then every pair across components is verified.
+        last = turn == rounds or left["pairs"] <= worth * left["rows"] or (before is not None and worth > 0 and left["pairs"] > 0.7 * before)
+        before = left["pairs"]
         if last:
             active = named.join(groups.select("token"), "token", "left_semi")
-            other = active.selectExpr("token", "struct(set, n, comp) AS p")
-            pairs = active.join(other, "token").where("comp < p.comp")
+            pairs = active.join(active.selectExpr("token", "struct(set, n, comp) AS p"), "token").where("comp < p.comp")
         else:
             pairs = named.join(groups.select("token", "p"), "token").where("comp <> p.comp")
-        pairs = pairs.where(near).select(F.least("set", "p.set").alias("a"), F.greatest("set", "p.set").alias("b")).distinct()
-        pairs = materialise(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+        pairs = materialise(pairs.where(near).select(F.least("set", "p.set").alias("a"), F.greatest("set", "p.set").alias("b")).distinct())
         found = verified(pairs, sets, percent, orders)
         edges = materialise(found if edges is None else edges.unionByName(found))
-        tested = pairs if tested is None else tested.unionByName(pairs)
         labels = materialise(components(edges))
         if last:
             break
+        tokens = tokens.join(groups.select("token"), "token", "left_semi")
     return labels if labels is not None else sets.selectExpr("set AS node", "set AS component").limit(0)
 
 

@@ -81,3 +81,13 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert jaccard.near_duplicates(docs).count() == 0
     assert jaccard.drop_near_duplicates(docs).count() == 0
+
+
+def test_components_of_many_edges_are_those_of_few(spark, monkeypatch):
+    from bauwerk.llm import shared
+
+    rnd = random.Random(1)
+    edges = spark.createDataFrame([(rnd.randrange(300), rnd.randrange(300)) for _ in range(220)], "a long, b long")
+    few = sorted(map(tuple, shared.components(edges).collect()))
+    monkeypatch.setattr(shared, "ONE_TASK", 0)
+    assert sorted(map(tuple, shared.components(edges).distinct().collect())) == few
