@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,11 +10,17 @@ from bauwerk.operators import images, layout, parse, placeholder, repair, subtot
 from bauwerk.sinks import export
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """Several tables are made from this one, so it is computed once: on disk where memory ends, and from its lineage where an
+    executor is lost."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def parse_text(texts: DataFrame) -> dict[str, DataFrame]:
     """Tables of the raw parser, in order of appearance and uncleaned. texts: (doc_id, source, text)."""
-    rows = parse.lines(texts)
-    cut = parse.main_segments(rows)
-    found = parse.positions(cut)
+    rows = _kept(parse.lines(texts))
+    cut = _kept(parse.main_segments(rows))
+    found = _kept(parse.positions(cut))
     return {
         "documents": parse.documents(texts, rows, cut),
         "headings": parse.headings(cut),
@@ -26,15 +33,15 @@ def parse_text(texts: DataFrame) -> dict[str, DataFrame]:
 
 def recover_placeholders(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """Adds positions of placeholder levels and sorts all by numeric OZ."""
-    cut = placeholder.placeholder_segments(tables["lines"])
-    merged = placeholder.merge_positions(tables["positions"], placeholder.recovered(cut))
+    cut = _kept(placeholder.placeholder_segments(tables["lines"]))
+    merged = _kept(placeholder.merge_positions(tables["positions"], placeholder.recovered(cut)))
     count = tables["positions"].groupBy("doc_id").agg(F.count("*").alias("n"))
     nodes = placeholder.merge_nodes(tables["nodes"], merged, placeholder.placeholder_headings(cut), count)
     return tables | {"positions": placeholder.sort_positions(merged), "nodes": nodes}
 
 
 def repair_references(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    kept = repair.fold_references(tables["positions"])
+    kept = _kept(repair.fold_references(tables["positions"]))
     return tables | {"positions": kept, "warnings": repair.refresh_warnings(tables["warnings"], kept)}
 
 
@@ -42,11 +49,11 @@ def parse_documents(texts: DataFrame, layouts: DataFrame | None = None, failures
     """All stages. layouts: (doc_id, layout_xml), where there are any; failures: (doc_id, error) of the layout tool."""
     tables = repair_references(recover_placeholders(parse_text(texts)))
     rows, warnings = layout.post_process(tables["positions"], tables["warnings"], layouts, failures)
-    nodes = repair.clean_titles(tables["nodes"])
-    fixed = repair.repair_prices(rows)
+    nodes = _kept(repair.clean_titles(tables["nodes"]))
+    fixed = _kept(repair.repair_prices(rows))
     warnings = repair.drop_price_warnings(warnings).unionByName(repair.price_warnings(fixed))
     final, more = subtotals.check_subtotals(fixed.drop("_fix"), subtotals.reported_totals(tables["lines"]), subtotals.price_facts(tables["lines"]))
-    return tables | {"positions": final, "nodes": nodes, "warnings": warnings.unionByName(more)}
+    return tables | {"positions": _kept(final), "nodes": nodes, "warnings": _kept(warnings.unionByName(more))}
 
 
 def export_documents(tables: dict[str, DataFrame], formats: list[str], layouts: DataFrame | None = None, files: DataFrame | None = None, now: Column | None = None, allow_conflicts: bool = False) -> dict[str, DataFrame]:
