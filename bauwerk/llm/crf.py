@@ -20,7 +20,7 @@ from .labelled import fit_logistic, labelled_sample, sigmoid
 from .shared import WORD, documents, id_crc
 
 #: Labelled texts of each class (0 clean, 1 toxic) that the field is fitted on.
-SAMPLE = {0: 4_000, 1: 2_000}
+SAMPLE = {0: 1_200, 1: 600}
 #: Clean lines a line with toxic tokens that take part in training; steps of the optimiser.
 CLEAN_LINES = 2
 STEPS = 80
@@ -159,11 +159,10 @@ def fit(sample: list[tuple[bytes, int]], counts: dict[int, int]) -> Field:
     hot, cold = [], []
     for text, y in sample:
         for line in text.lower().split(b"\n"):
-            words = line.split()
-            if words:
-                labels = token_labels(words, marked) if y else np.zeros(len(words))
-                (hot if labels.any() else cold).append((words, labels))
-    lines = hot + cold[:: max(1, len(cold) // max(1, CLEAN_LINES * len(hot)))]
+            labels = token_labels(line.split(), marked) if y else np.zeros(1)
+            (hot if labels.any() else cold).append(line)
+    clean = [line for line in cold[:: max(1, len(cold) // max(1, CLEAN_LINES * len(hot)))] if line.split()]
+    lines = [(line.split(), token_labels(line.split(), marked)) for line in hot] + [(line.split(), np.zeros(len(line.split()))) for line in clean]
     index: dict[bytes, int] = {}
     tokens = np.array([index.setdefault(w, len(index)) for words, _ in lines for w in words])
     labels = np.concatenate([y for _, y in lines])
