@@ -153,7 +153,7 @@ def _char(code: Column) -> Column:
         .when(n < 0x10000, F.concat(byte(F.lit(0xE0) + F.shiftright(n, 12)), byte(low(6)), byte(low(0))))
         .otherwise(F.concat(byte(F.lit(0xF0) + F.shiftright(n, 18)), byte(low(12)), byte(low(6)), byte(low(0))))
     )
-    return F.decode(F.unhex(utf8), F.lit("UTF-8"))
+    return F.decode(F.unhex(utf8), "UTF-8")
 
 
 def fragment_text(body: Column) -> Column:

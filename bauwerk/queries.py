@@ -289,6 +289,8 @@ WITH {ITEMS}, walked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, oz OR
   SELECT doc_id, 'dup_oz' AS code, oz, 'Doppelte OZ: ' || oz AS message FROM walked WHERE nth > 1
   UNION ALL SELECT doc_id, 'gp_fixed', oz, 'Preis korrigiert: ' || oz || ' – GP ' || rtrim(rtrim(CAST(total_price AS VARCHAR), '0'), '.') || ' wurde aus Menge × EP als '
     || rtrim(rtrim(CAST(CAST(product AS DECIMAL(18,2)) AS VARCHAR), '0'), '.') || ' neu berechnet' FROM walked WHERE flag <> 'R' AND abs(product - total_price) > 0.02 AND abs(round_even(quantity * total_price, 2) - unit_price) > 0.02
+  UNION ALL SELECT doc_id, 'prov_check', oz, 'Eventualposition prüfen: ' || oz || ' – in der GB-Spalte wurde ein Gesamtpreis erkannt, aber keine Untertitelsumme gefunden'
+    FROM walked w WHERE flag = 'R' AND EXISTS (SELECT 1 FROM walked o WHERE o.doc_id = w.doc_id AND o.oz = w.oz AND o.flag NOT IN ('R', 'A'))
 )
 SELECT doc_id, code, oz, message, count(*) AS n FROM told GROUP BY ALL
 """
