@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +18,15 @@ def _kept(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """The end of a lineage: written to the shared folder that the session names, so that plans that go on from here are
+    small. A folder of its own is set only where the session has none."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="bauwerk-"))
+    return df.checkpoint()
+
+
 def parse_text(texts: DataFrame) -> dict[str, DataFrame]:
     """Tables of the raw parser, in order of appearance and uncleaned. texts: (doc_id, source, text)."""
     rows = _kept(parse.lines(texts))
@@ -41,19 +52,19 @@ def recover_placeholders(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
 
 
 def repair_references(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    kept = _kept(repair.fold_references(tables["positions"]))
-    return tables | {"positions": kept, "warnings": repair.refresh_warnings(tables["warnings"], kept)}
+    kept = _cut(repair.fold_references(tables["positions"]))
+    return tables | {"positions": kept, "nodes": _cut(tables["nodes"]), "warnings": _cut(repair.refresh_warnings(tables["warnings"], kept)), "documents": _cut(tables["documents"])}
 
 
 def parse_documents(texts: DataFrame, layouts: DataFrame | None = None, failures: DataFrame | None = None) -> dict[str, DataFrame]:
     """All stages. layouts: (doc_id, layout_xml), where there are any; failures: (doc_id, error) of the layout tool."""
     tables = repair_references(recover_placeholders(parse_text(texts)))
     rows, warnings = layout.post_process(tables["positions"], tables["warnings"], layouts, failures)
-    nodes = _kept(repair.clean_titles(tables["nodes"]))
+    nodes = repair.clean_titles(tables["nodes"])
     fixed = _kept(repair.repair_prices(rows))
     warnings = repair.drop_price_warnings(warnings).unionByName(repair.price_warnings(fixed))
     final, more = subtotals.check_subtotals(fixed.drop("_fix"), subtotals.reported_totals(tables["lines"]), subtotals.price_facts(tables["lines"]))
-    return tables | {"positions": _kept(final), "nodes": nodes, "warnings": _kept(warnings.unionByName(more))}
+    return tables | {"positions": _cut(final), "nodes": nodes, "warnings": _cut(warnings.unionByName(more))}
 
 
 def export_documents(tables: dict[str, DataFrame], formats: list[str], layouts: DataFrame | None = None, files: DataFrame | None = None, now: Column | None = None, allow_conflicts: bool = False) -> dict[str, DataFrame]:
