@@ -22,8 +22,11 @@ from .shared import documents, id_crc, materialise
 
 #: Marks the start of a word in the vocabulary's pieces.
 START = "▁"
-#: Words up to this length run the forward recursion on probabilities, which can't underflow there; longer ones on logs.
+#: Words up to this length run the recursions on probabilities first, and on logs if these come out below SAFE; longer
+#: ones on logs at once. Probabilities from a position on sum to at most 1, so what underflows on the way, under 1e-307
+#: each, can't matter to a result of SAFE or more.
 SHORT = 32
+SAFE = 1e-200
 #: Weight of the vocabulary's own distribution against the counts, in pieces.
 PRIOR = 2_000.0
 LOG10 = math.log(10)
@@ -82,7 +85,8 @@ class Pieces:
                 if a := forward[i]:
                     for j, p in self.arcs(word, i):
                         forward[j] += a * p
-            return math.log(forward[n])
+            if forward[n] >= SAFE:
+                return math.log(forward[n])
         logs: list[float] = [-math.inf] * (n + 1)
         logs[0] = 0.0
         for i in range(n):
@@ -108,6 +112,9 @@ class Pieces:
             if a := forward[i]:
                 for j, p in arcs[i]:
                     forward[j] += a * p
+        if forward[n] < SAFE:
+            self._expect_long(word, arcs, count, into)
+            return
         for i in range(n - 1, -1, -1):
             backward[i] = sum(p * backward[j] for j, p in arcs[i])
         scale = count / forward[n]

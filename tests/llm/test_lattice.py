@@ -41,6 +41,30 @@ def test_long_words_agree_with_short_ones(toy, monkeypatch):
     assert math.isfinite(toy.log_probability("ab" * 5000))
 
 
+UNKNOWN = [("\U0001d400", 16), ("\U0001f9e8", 16), ("\u1013", 22), ("\u0f84", 22), ("\u1100", 22), ("\u1100", 31), ("\U0001f9e8", 31)]
+
+
+def test_short_words_that_underflow_as_probabilities(monkeypatch):
+    pieces = lattice.read_pieces()
+    words = [c * n for c, n in UNKNOWN] + ["the" + "\u1013" * 15, "\U0001d400" * 8, "plain"]
+    logs, counts = [pieces.log_probability(w) for w in words], []
+    for w in words:
+        pieces.expect(w, 3, into := {})
+        counts.append(into)
+    monkeypatch.setattr(lattice, "SHORT", 0)
+    assert all(map(math.isfinite, logs)) and logs == pytest.approx([pieces.log_probability(w) for w in words])
+    for w, got in zip(words, counts):
+        pieces.expect(w, 3, into := {})
+        assert {k: v for k, v in got.items() if v > 1e-12} == pytest.approx({k: v for k, v in into.items() if v > 1e-12})
+
+
+@pytest.mark.parametrize("held_out", ["doc_id >= 100", "doc_id < 100"])
+def test_rare_characters_in_training_and_held_out_rows(spark, held_out):
+    rows = [(i, "common words " + c * n) for i, (c, n) in enumerate(UNKNOWN)] + [(100 + i, "other common words " + chr(0x1D401) * n) for i, n in enumerate(range(16, 32))]
+    got = lattice.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), F.expr(held_out)).collect()
+    assert len(got) == len(rows) and all(math.isfinite(r.score) and r.score < 0 for r in got)
+
+
 def test_scores_of_documents(spark):
     rows = [(i, " ".join(["The", "cat", f"sat{i % 4}", "on"] * (1 + i % 3))) for i in range(60)] + [(70, None), (71, ""), (None, "Null id here"), (3, "The cat"), (72, "w" * 5000)]
     docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, mark int, key string")
