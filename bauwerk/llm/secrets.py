@@ -22,8 +22,17 @@ BASE = {
 ADDED = "random"
 KINDS = [*BASE, ADDED]
 
-#: Runs that may be a key: no blanks, none of the marks that end one.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9+/_=.@-])")
+#: Least length of a key.
+LEAST = 16
+#: Runs that may be a key: no blanks, none of the marks that end one. A full stop ends a run, so the parts of a dotted
+#: string are runs of their own.
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}(?![A-Za-z0-9+/_=@-])" % LEAST)
+#: What is no key by the way it goes on after its first part: host names in small letters, file names, mail addresses.
+NAMED = re.compile(
+    r"(?:[a-z0-9-]+(?:\.[a-z0-9-]+){0,8}\.(?:[a-z]{2}|com|org|net|edu|gov|mil|int|info|biz|dev|app|cloud|example|test|local|internal|invalid)(?![A-Za-z0-9+_=-]|\.[A-Za-z0-9])"
+    r"|[A-Za-z0-9+_=-]+(?:\.[A-Za-z0-9_-]+){0,8}\.(?:pdf|txt|csv|tsv|json|xml|ya?ml|html?|md|docx?|xlsx?|pptx?|jpe?g|png|gif|svg|webp|mp[34]|js|mjs|css|map|py|java|sh|sql|log|parquet|zip|gz|tar|whl|jar|exe|dll|so|bin)(?![A-Za-z0-9+_=-]|\.[A-Za-z0-9])"
+    r"|[A-Za-z0-9+_=-]+(?:\.[A-Za-z0-9+_-]+){1,8}@)"
+)
 #: Known digests and identifiers, which are random without being secret: hex digests of the usual lengths, UUIDs,
 #: plain numbers, and names joined by marks from parts of letters or digits alone.
 KNOWN = re.compile(
@@ -39,16 +48,39 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return [(m.start(), m.end(), kind) for kind, (pattern, group, least) in BASE.items() for m in pattern.finditer(text) if len(m.group(group)) >= least]
 
 
+def is_random(run: str, vocabulary: Vocabulary, ratio: float) -> bool:
+    """Few characters a token, letters and digits, and no known form."""
+    if not re.search(r"[0-9]", run) or not re.search(r"[A-Za-z]", run) or KNOWN.match(run):
+        return False
+    return len(run) <= ratio * sum(len(vocabulary.encode_piece(piece.encode())) for piece in vocabulary.split(run))
+
+
 def random_spans(text: str, vocabulary: Vocabulary, ratio: float = RATIO) -> list[tuple[int, int, str]]:
-    """Runs with few characters a token. A run needs letters and digits, and no known form."""
+    """Runs with few characters a token. A run needs letters and digits, and no known form.
+
+    After a full stop, plain names up to a slash (the rest of a host name, folders) don't count to the run, and a last
+    part that begins a host or file name (NAMED) doesn't either. Where a run with slashes isn't random as a whole, as paths
+    aren't, its parts are tested. A run right before an @ is part of an address.
+    """
     found = []
     for m in CANDIDATE.finditer(text):
-        run = m.group()
-        if not re.search(r"[0-9]", run) or not re.search(r"[A-Za-z]", run) or KNOWN.match(run):
+        start, end = m.span()
+        if text[end : end + 1] == ".":
+            last = max(start, text.rfind("/", start, end) + 1)
+            if NAMED.match(text, last):
+                end = max(start, last - 1)
+        if text[start - 1 : start] == ".":
+            while (cut := text.find("/", start, end)) >= 0 and (cut == start or KNOWN.match(text[start:cut])):
+                start = cut + 1
+        if end - start < LEAST:
+            continue
+        if is_random(text[start:end], vocabulary, ratio):
+            found.append((start, end, ADDED))
             continue
-        tokens = sum(len(vocabulary.encode_piece(piece.encode())) for piece in vocabulary.split(run))
-        if len(run) <= ratio * tokens:
-            found.append((m.start(), m.end(), ADDED))
+        for part in text[start:end].split("/") if "/" in text[start:end] else []:
+            if len(part) >= LEAST and is_random(part, vocabulary, ratio):
+                found.append((start, start + len(part), ADDED))
+            start += len(part) + 1
     return found
 
 

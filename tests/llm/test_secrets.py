@@ -29,6 +29,28 @@ def test_random_strings_and_what_is_excluded(vocabulary):
     assert secrets.random_spans("internationalization2 responsibilities and understanding", vocabulary) == []
 
 
+KEY = "iK2ZWeqhFWCEPyYngFb5"
+JWT = ["eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9", "eyJzdWIiOiIxMjM0NTY3ODkwIiwibmFtZSI6IkpvaG4gRG9lIn0", "SflKxwRJSMeKKF2QT4fwpMeJf36POk6yJV_adQssw5c"]
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        (f"use {KEY}.", [KEY]),
+        (f"use {KEY}... Then", [KEY]),
+        (f"use {KEY}/abC9.", [f"{KEY}/abC9"]),
+        (f"name.{KEY} x", [KEY]),
+        ("Bearer " + ".".join(JWT) + ".", JWT),
+        (f"https://hooks.example.com/services/{KEY}", [KEY]),
+        (f"http://localhost/services/internal/webhooks/incoming/{KEY}?x", [KEY]),
+        ("d3adb33fk3j4h5g6f7.example.com report_a8f7c6b5d4e3f2a1b0.pdf x/a8f7c6b5d4e3f2a1b0x.tar.gz. first1a2b3c4d5e6f7g8.last@example.com", []),
+        ("k3j4h5g6f7d8s9a0z1.", ["k3j4h5g6f7d8s9a0z1"]),
+    ],
+)
+def test_random_strings_that_touch_a_full_stop_or_a_path(vocabulary, text, want):
+    assert [text[a:b] for a, b, _ in secrets.random_spans(text, vocabulary)] == want
+
+
 def test_scan(spark, vocabulary):
     texts = ["ü token=abcdef", None, "", "kJ8sQ2vLx9ZpT4wR7yUb", "a" * 200000 + " " + "f" * 30]
     docs = spark.createDataFrame([(i, t, 1, "y") for i, t in enumerate(texts)] + [(None, "x", 1, "y"), (0, "ü token=abcdef", 1, "y")], "doc_id long, text string, n_hex int, spans string")
