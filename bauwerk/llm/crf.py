@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from .labelled import fit_logistic, labelled_sample, sigmoid
 from .shared import WORD, documents, id_crc
 
 #: Labelled texts of each class (0 clean, 1 toxic) that the field is fitted on.
-SAMPLE = {0: 1_200, 1: 600}
+SAMPLE = {0: 4_000, 1: 2_000}
 #: Clean lines a line with toxic tokens that take part in training; steps of the optimiser.
 CLEAN_LINES = 2
 STEPS = 80
@@ -29,6 +30,8 @@ PURITY, DOUBT = 0.9, 0.05
 THRESHOLD = 0.5
 #: Words whose emission a task remembers.
 REMEMBERED = 1_000_000
+#: Tokens of training lines that a step looks at together, and texts that the fit tags at once; both bound its memory.
+TOKENS, TAGGED = 200_000, 200
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
 
@@ -126,16 +129,20 @@ def document_features(p: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def marked_features(sample: list[tuple[bytes, int]]) -> set[str]:
     """Features that are nearly only in toxic documents, beyond what chance does to so many features."""
-    seen: dict[str, list[int]] = {}
-    for text, y in sample:
-        for feature in {f for w in set(text.lower().split()) for f in features(w)}:
-            seen.setdefault(feature, [0, 0])[y] += 1
     share = sum(y for _, y in sample) / max(1, len(sample))
     if not 0 < share < 1:
         return set()
-    bound = math.log(len(seen) / DOUBT)
+    index: dict[str, int] = {}
+    seen = array("i"), array("i")
+    for text, y in sample:
+        for feature in {f for w in set(text.lower().split()) for f in features(w)}:
+            at = index.setdefault(feature, len(index))
+            if at == len(seen[0]):
+                seen[0].append(0), seen[1].append(0)
+            seen[y][at] += 1
+    bound = math.log(len(index) / DOUBT) if index else 0.0
     marked = set()
-    for feature, (clean, toxic) in seen.items():
+    for feature, clean, toxic in zip(index, *seen):
         n = clean + toxic
         pure = toxic / n
         if pure >= PURITY and pure > share:
@@ -162,42 +169,62 @@ def fit(sample: list[tuple[bytes, int]], counts: dict[int, int]) -> Field:
             labels = token_labels(line.split(), marked) if y else np.zeros(1)
             (hot if labels.any() else cold).append(line)
     clean = [line for line in cold[:: max(1, len(cold) // max(1, CLEAN_LINES * len(hot)))] if line.split()]
-    lines = [(line.split(), token_labels(line.split(), marked)) for line in hot] + [(line.split(), np.zeros(len(line.split()))) for line in clean]
+    lines = sorted([*((line, True) for line in hot), *((line, False) for line in clean)], key=lambda x: -len(x[0].split()))
+    del hot, cold, clean
     index: dict[bytes, int] = {}
-    tokens = np.array([index.setdefault(w, len(index)) for words, _ in lines for w in words])
-    labels = np.concatenate([y for _, y in lines])
-    lengths = np.array([len(w) for w, _ in lines])
+    tokens, labels, lengths = array("i"), array("b"), array("i")
+    for line, toxic in lines:
+        words = line.split()
+        tokens.extend(index.setdefault(w, len(index)) for w in words)
+        labels.extend(token_labels(words, marked).astype(int).tolist() if toxic else [0] * len(words))
+        lengths.append(len(words))
+    del lines
+    tokens, labels, lengths = np.array(tokens), np.array(labels), np.array(lengths, np.int64)
     names: dict[str, int] = {"bias": 0}
-    pairs = [(i, names.setdefault(f, len(names))) for w, i in index.items() for f in ["bias", *features(w)]]
-    rows, cols = np.array(pairs).T
-    inner = np.ones(len(tokens), bool)
-    inner[np.cumsum(lengths) - lengths] = False
-    after = np.flatnonzero(inner)
-    y = labels.astype(int)
-    wanted = np.bincount(y[after - 1] * 2 + y[after], minlength=4).reshape(2, 2)
+    rows, cols = array("i"), array("i")
+    for w, i in index.items():
+        found = ["bias", *features(w)]
+        rows.extend([i] * len(found))
+        cols.extend(names.setdefault(f, len(names)) for f in found)
+    rows, cols = np.array(rows), np.array(cols)
+    # Lines of about the same length stand together: blocks of them are walked one after another.
+    block = np.cumsum(lengths) // TOKENS
+    blocks, at = [], 0
+    for number in np.unique(block):
+        some = lengths[block == number]
+        blocks.append((slice(at, at + int(some.sum())), some))
+        at += int(some.sum())
     weights, moves = np.zeros(len(names)), np.zeros((2, 2))
     weights[0] = -2.0
     size = len(names) + 4
     m, v = np.zeros(size), np.zeros(size)
     for step in range(1, STEPS + 1):
-        emission = np.bincount(rows, weights[cols], minlength=len(index))[tokens]
-        forward, backward, p = marginals(emission, lengths, moves)
+        words, by_word, extra = np.bincount(rows, weights[cols], minlength=len(index)), np.zeros(len(index)), np.zeros((2, 2))
         t = np.exp(moves)
-        a, b = forward[after - 1], np.exp(np.clip(emission[after], -30, 30)) * backward[after]
-        joint = np.array([np.full(len(after), t[0, 0]), t[0, 1] * b, t[1, 0] * a, t[1, 1] * a * b])
-        expected = (joint / joint.sum(axis=0)).sum(axis=1).reshape(2, 2)
-        by_word = np.bincount(tokens, p - labels, minlength=len(index))
-        grad = np.r_[np.bincount(cols, by_word[rows], minlength=len(names)) + 0.05 * weights, (expected - wanted).ravel() + 0.05 * moves.ravel()]
+        for where, some in blocks:
+            y = labels[where]
+            emission = words[tokens[where]]
+            forward, backward, p = marginals(emission, some, moves)
+            inner = np.ones(len(y), bool)
+            inner[np.cumsum(some) - some] = False
+            after = np.flatnonzero(inner)
+            a, b = forward[after - 1], np.exp(np.clip(emission[after], -30, 30)) * backward[after]
+            joint = np.array([np.full(len(after), t[0, 0]), t[0, 1] * b, t[1, 0] * a, t[1, 1] * a * b])
+            extra += (joint / joint.sum(axis=0)).sum(axis=1).reshape(2, 2) - np.bincount(y[after - 1] * 2 + y[after], minlength=4).reshape(2, 2)
+            by_word += np.bincount(tokens[where], p - y, minlength=len(index))
+        grad = np.r_[np.bincount(cols, by_word[rows], minlength=len(names)) + 0.05 * weights, extra.ravel() + 0.05 * moves.ravel()]
         grad[len(names)] = 0.0  # the other moves are relative to clean after clean
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         change = 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         weights -= change[: len(names)]
         moves -= change[len(names) :].reshape(2, 2)
     field = Field({k: float(weights[i]) for k, i in names.items() if k == "bias" or abs(weights[i]) > 1e-3}, moves)
-    p, n = field.tagged([t for t, _ in sample])
+    memory = field.remembering()
+    some = (field.tagged([t for t, _ in sample[lo : lo + TAGGED]], memory) for lo in range(0, len(sample), TAGGED))
+    measured = np.concatenate([document_features(p, n) for p, n in some])
     truth = np.array([label for _, label in sample])
     share = np.array([counts[0], counts[1]]) / total * len(truth) / np.maximum(1, np.bincount(truth, minlength=2))
-    field.document = fit_logistic(document_features(p, n), truth, share[truth], penalty=0.1)
+    field.document = fit_logistic(measured, truth, share[truth], penalty=0.1)
     return field
 
 

@@ -111,3 +111,22 @@ def test_toxicity_on_held_out_rows_and_spans(spark, rows):
     assert by_id[9001].score == by_id[9002].score < 0.5 and by_id[9001].spans == []
     assert [(s.start, s.end) for s in by_id[None].spans] == [(2, 18)]
     assert any(s.start == 150000 for r in got if r.doc_id == 3 for s in r.spans)
+
+
+def test_the_field_learns_words_that_few_toxic_documents_hold(spark):
+    rows = [(i, f"some plain words a b c {'zorgulic' if i % 600 == 2 else 'quiet'} end", int(i % 3 == 2)) for i in range(6000)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    field = crf.train(docs, labels)
+    assert field.constant is None
+    p, _ = field.tagged([b"some plain zorgulic words", b"some plain quiet words"])
+    assert [x > 0.5 for x in p] == [False, False, True, False] + [False] * 4
+
+
+def test_blocks_of_lines_and_texts_make_the_same_field(monkeypatch):
+    sample = [(f"plain {i % 7} words\nthen {'vile' if i % 3 == 0 else 'good'} ones {'more ' * (i % 5)}".encode(), int(i % 3 == 0)) for i in range(300)]
+    whole = crf.fit(sample, {0: 200, 1: 100})
+    monkeypatch.setattr(crf, "TOKENS", 20)
+    monkeypatch.setattr(crf, "TAGGED", 7)
+    parts = crf.fit(sample, {0: 200, 1: 100})
+    assert parts.weights == pytest.approx(whole.weights) and parts.moves == pytest.approx(whole.moves) and parts.document == pytest.approx(whole.document)
