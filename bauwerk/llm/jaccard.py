@@ -314,6 +314,9 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     Returns doc_id, n_shingles, component_id (smallest doc_id reachable, null ids last), text_hash and
     leader (true for one row of each component, by doc_id and text; rows that repeat both are leaders together).
 
+    Components are those of all links, but not all links are found: pairs of one component are skipped, so neither the
+    links between its members nor their number can be had from here.
+
     A null, empty or blank text has no shingles and links with nothing. Rows with one doc_id and different texts
     are different documents. An empty table gives an empty result. Other columns don't matter.
     Tokens are compared by 40 bits and their bucket, sets are named by 48 bits: two documents of 500 shingles are
