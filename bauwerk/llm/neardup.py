@@ -6,11 +6,12 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import components, materialise
-from .vectors import common_length, is_valid, matrix
+from .vectors import is_valid, matrix
 
 COSINE = 0.93
 #: Recall at the threshold itself that tables and count are calibrated to; above it recall is higher.
@@ -148,49 +149,48 @@ def _compare(ids, mult, unit, k, tables, table, cosine, least, split, seed):
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float = RECALL, seed: int = SEED) -> DataFrame:
     """One row per row of vectors(vec_id, embedding, label): n_links, component_id, kept.
 
-    Rows link when their labels are equal and not null and their cosine, in double precision, is at least ``cosine``.
+    Rows link when their labels are equal and not null, their vectors are of one length, and the cosine of these, in double
+    precision, is at least ``cosine``.
     Equal vectors of a label are one class, with a number of rows; classes are compared, so copies never make pairs.
-    Per label, tables of k projections each cut the vectors into cells (k and the number of tables follow the label's
+    Per label and length, tables of k projections each cut the vectors into cells (k and the number of tables follow its
     size and the recall wanted); in a cell, collisions of query-centred windows over COUNTED sorted projections are
     counted for each pair, and pairs that reach the calibrated count are verified exactly. Cells of more than CHUNK
     classes are split, and each two parts compared in a task of their own; what leaves a task is a number of links
     for each class and a spanning forest, never all pairs.
 
-    Null, empty, zero or non-finite vectors, those with null components, and those whose length isn't the commonest
-    link with nothing, as do rows with null labels: n_links 0, component_id their own vec_id, kept true. Rows
-    with one vec_id are vectors of their own. An empty table gives an empty result; other columns don't matter.
+    Null, empty, zero or non-finite vectors and those with null components link with nothing, as do rows with null
+    labels: n_links 0, component_id their own vec_id, kept true. Rows with one vec_id are vectors of their own. An empty table gives an empty result; other columns don't matter.
     """
     spark = vectors.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = vectors.select("vec_id", "embedding", "label").withColumn("_c", F.when(is_valid(F.col("embedding")) & F.col("label").isNotNull(), F.xxhash64("label", "embedding")))
     slim = rows.select("vec_id", "_c")
     valid = rows.where("_c IS NOT NULL")
-    d = common_length(valid, "embedding")
-    if d is None:
+    if valid.isEmpty():
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    classes = valid.where(F.size("embedding") == d).groupBy("_c").agg(F.first("label").alias("label"), F.first("embedding").alias("v"), F.count("*").alias("mult"), F.min("vec_id").alias("least"))
+    classes = valid.groupBy("_c").agg(F.first("label").alias("label"), F.first("embedding").alias("v"), F.count("*").alias("mult"), F.min("vec_id").alias("least"))
     classes = materialise(classes)
-    sizes = classes.groupBy("label").agg(F.count("*").alias("n")).withColumnRenamed("label", "l")
-    placed = classes.join(sizes, F.expr("label = l")).select(F.xxhash64("l").alias("l"), "n", "_c", "mult", "v")
-    fields = "cell long, l long, n long, tab int, c long, mult long, v binary"
+    sizes = classes.groupBy(F.col("label").alias("l"), F.size("v").alias("d")).agg(F.count("*").alias("n"))
+    placed = classes.join(sizes, F.expr("label = l AND size(v) = d")).select(F.xxhash64("l", "d").alias("l"), "n", "_c", "mult", "v")
+    fields = "cell long, l long, n long, d int, tab int, c long, mult long, v binary"
 
     def to_cells(batches):
         for batch in batches:
-            n_of = batch.column(1).to_numpy()
-            v = matrix(batch.column(4))
-            for n in np.unique(n_of):
-                at = np.flatnonzero(n_of == n)
-                k, tables = plan(int(n), cosine, recall)
+            kinds = np.c_[batch.column(1).to_numpy(), pc.list_value_length(batch.column(4)).to_numpy()]
+            for n, d in np.unique(kinds, axis=0).tolist():
+                at = np.flatnonzero((kinds == (n, d)).all(axis=1))
+                k, tables = plan(n, cosine, recall)
                 for lo in range(0, len(at), 1000):
                     some = at[lo : lo + 1000]
-                    cells = _cells(_unit(v[some]), k, tables, seed)
                     take = pa.array(some)
-                    blobs = pa.array([r.tobytes() for r in v[some].astype("<f4" if (v[some].astype("<f4") == v[some]).all() else "<f8")], pa.binary())
+                    v = matrix(batch.column(4).take(take))
+                    cells = _cells(_unit(v), k, tables, seed)
+                    blobs = pa.array([r.tobytes() for r in v.astype("<f4" if (v.astype("<f4") == v).all() else "<f8")], pa.binary())
                     label, size, c, mult = (batch.column(x).take(take) for x in (0, 1, 2, 3))
                     mark = label.to_numpy().astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
                     for t in range(tables):
                         cell = (cells[:, t] ^ (mark + np.uint64(t))).view(np.int64)
-                        yield pa.RecordBatch.from_arrays([pa.array(cell), label, size, pa.array([t] * len(some), pa.int32()), c, mult, blobs], names=["cell", "l", "n", "tab", "c", "mult", "v"])
+                        yield pa.RecordBatch.from_arrays([pa.array(cell), label, size, pa.array([d] * len(some), pa.int32()), pa.array([t] * len(some), pa.int32()), c, mult, blobs], names=["cell", "l", "n", "d", "tab", "c", "mult", "v"])
 
     celled = placed.repartition(parts, "_c").mapInArrow(to_cells, fields)
     celled = materialise(celled)
@@ -199,7 +199,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float =
     shard = F.pmod(F.xxhash64("c"), "shards").cast("int")
     dealt = celled.join(counts, key).withColumn("shard", shard)
     others = F.transform(F.sequence(F.lit(0), F.col("shards") - 1), lambda x: F.struct(F.least(x, "shard").alias("i"), F.greatest(x, "shard").alias("j")))
-    dealt = dealt.withColumn("ij", F.explode(others)).select(*key, "ij.i", "ij.j", (F.col("shard") != F.col("ij.i")).cast("int").alias("side"), "n", "c", "mult", "v")
+    dealt = dealt.withColumn("ij", F.explode(others)).select(*key, "ij.i", "ij.j", (F.col("shard") != F.col("ij.i")).cast("int").alias("side"), "n", "d", "c", "mult", "v")
     group = [*key, "i", "j"]
     dealt = dealt.repartition(parts, *group).sortWithinPartitions(*group, "side", "c")
     least = least_count(cosine, recall)
@@ -210,8 +210,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float =
                 return
             table = pa.Table.from_batches(held).combine_chunks()
             blobs = table.column("v").to_pylist()
-            width = "<f4" if len(blobs[0]) == 4 * d else "<f8"
-            v = np.stack([np.frombuffer(b, "<f4" if len(b) == 4 * d else width).astype(np.float64) for b in blobs])
+            d = table.column("d")[0].as_py()
+            v = np.stack([np.frombuffer(b, "<f4" if len(b) == 4 * d else "<f8").astype(np.float64) for b in blobs])
             side = table.column("side").to_numpy()
             i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
             n, t = table.column("n")[0].as_py(), table.column("tab")[0].as_py()

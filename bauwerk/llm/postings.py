@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -135,7 +136,7 @@ def fit(sample: np.ndarray, norm: float, k: int = K, recall: float = RECALL, see
     for q, s in enumerate(scores):
         top = np.argpartition(-s, min(k, len(s) - 1))[: k + 1]
         needed += [min(far[q, p] for p in own[t]) for t in top.tolist()]
-    index.ratio = float(np.quantile(needed, recall)) * 1.0001
+    index.ratio = max(1.0, float(np.quantile(needed, recall))) * 1.0001
     return index
 
 
@@ -178,11 +179,12 @@ def _partial(found: dict) -> pa.RecordBatch:
 class Searcher:
     """An index in the cluster: its fitted part, and the posting lists as a written table."""
 
-    def __init__(self, vectors: DataFrame, k: int = K, recall: float = RECALL, seed: int = SEED):
-        """vectors(vec_id, embedding); invalid ones, and those whose length isn't the commonest, take no part."""
+    def __init__(self, vectors: DataFrame, k: int = K, recall: float = RECALL, seed: int = SEED, length: int | None = None):
+        """vectors(vec_id, embedding); invalid ones take no part, nor do those of another length than ``length``, which is
+        the commonest if not given."""
         self.spark, self.k = vectors.sparkSession, k
         rows = vectors.where("vec_id IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(is_valid(F.col("embedding")))
-        self.length = common_length(rows, "embedding")
+        self.length = length or common_length(rows, "embedding")
         if self.length is None:
             return
         self.rows = rows.where(F.size("embedding") == self.length)
@@ -309,11 +311,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, **parameters) ->
     takes the lists within a ratio of the nearest distance, which is calibrated on the sample. Each list is
     searched exactly; results of a query are merged, ties to the smaller vec_id.
 
+    Vectors of each length have an index of their own, fitted one after another, and meet queries of that length only.
     Null, zero or non-finite vectors, null components and null ids take no part. A query is not its own candidate;
     other rows with the same vector are. Rows with one vec_id count as one vector: the better score stays. With fewer
     than k candidates all that are found come back. An empty table gives an empty result.
     """
-    return Searcher(vectors, k, **parameters).search(queries)
+    valid = vectors.where(F.col("vec_id").isNotNull() & is_valid(F.col("embedding")))
+    lengths = sorted(r["d"] for r in valid.select(F.size("embedding").alias("d")).distinct().collect())
+    found = [Searcher(vectors, k, length=d, **parameters).search(queries) for d in lengths or [None]]
+    return reduce(DataFrame.unionAll, found)
 
 
 def op7_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:

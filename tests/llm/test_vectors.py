@@ -104,3 +104,35 @@ def test_few_vectors(spark):
     assert run(spark, rows) == {20: [(3, 1.0), (40, 0.5)], 40: [(3, 0.5), (20, 0.5)]}
     assert run(spark, rows[:1]) == {}
     assert run(spark, [(20, None, 0)]) == {} == run(spark, [])
+
+
+def mixed(rng):
+    """Vectors of 16, 8 and 3 components, with near copies in each length."""
+    x = [clusters(rng, n, d, 1) for n, d in ((240, 16), (90, 8), (6, 3))]
+    return [(i + 1, v.tolist(), i % 2) for i, v in enumerate(v for part in x for v in [*part, *part[:2]])]
+
+
+def test_near_duplicates_of_every_length(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "CELL", 40)
+    rows = mixed(np.random.default_rng(8))
+    got = {r.vec_id: r.n_links for r in neardup.near_duplicates(table(spark, rows)).collect()}
+    want = {}
+    for d in (16, 8, 3):
+        some = [r for r in rows if len(r[1]) == d]
+        u = np.array([r[1] for r in some], float)
+        u /= np.linalg.norm(u, axis=1, keepdims=True)
+        lab = np.array([r[2] for r in some])
+        link = (u @ u.T >= 0.93) & (lab[:, None] == lab[None, :])
+        want |= {r[0]: int(n) - 1 for r, n in zip(some, link.sum(axis=1))}
+        assert any(want[r[0]] for r in some)
+    assert got == want
+
+
+def test_nearest_of_every_length(spark):
+    rows = [(20 * i if len(v) == 3 else i, v, lab) for i, v, lab in mixed(np.random.default_rng(8))]
+    short = {i for i, v, _ in rows if len(v) == 3}
+    got, want = run(spark, rows, 5), {}
+    for d in (16, 8, 3):
+        want |= brute([r for r in rows if len(r[1]) == d], 5)
+    assert {q: len(found) for q, found in got.items()} == {q: len(found) for q, found in want.items()}
+    assert all([i for i, _ in got[q]] == [i for i, _ in want[q]] for q in short)
