@@ -3,18 +3,20 @@
 Plan, in one scan of the texts:
 
 1. Each text becomes a set of hashed shingles. Each block of documents sends out the sets that differ, packed:
-   tokens by bucket of the token's hash, 5 bytes of token and 6 of the set's name each, so the big shuffle
-   is about eleven bytes a shingle at most, and copies inside a block travel once.
+   tokens by bucket, with the number of their set in a list of names that the row brings along, so the big shuffle
+   takes about eight bytes a shingle, and copies inside a block travel once.
 2. A bucket counts in how many different sets each of its tokens occurs. Tokens of one set only can't be shared:
    they stay there. Shared ones go back to their sets, with their frequency class.
 3. Order the tokens of a set by frequency, ties by hash. Two sets of Jaccard similarity t or more share a token in
-   their first n - ceil(t n) + 1 tokens. Tokens of one set come first, so most sets have no shared token in their
-   prefix and leave here. The order of ties is free: one order serves for candidates, further orders, with other
-   hashes, are intersected with it, pair by pair, before verification counts the overlap.
-4. Links are only needed as far as they join components. Per token one member is the pivot and the others of
-   another component are held against it, round by round with other pivots; groups that have become one component
-   leave. What is left is verified pair by pair across components, so the result is exact, and a group of
-   thousands of near copies costs a few candidates a member.
+   their first n - ceil(t n) + 1 tokens, and behind the first one they share, both have room left for the overlap that
+   t asks for. Tokens of one set come first, so most sets have no shared token in their prefix and leave here. The
+   order of ties is free: one order serves for candidates, further orders, with other hashes, are intersected with
+   it, pair by pair, before tokens are looked at and the overlap is counted.
+4. Links are only needed as far as they join components. Of each token's members the one whose tokens are most frequent,
+   which is what near copies have in common, is the pivot that all others are held against. A token whose members
+   are one component then is done. Where some are outside of the largest component, these, and only these, are held
+   against the others, in bands of set sizes that can link. So a group of near copies costs a few candidates a member, and
+   the result is exact.
 """
 
 from __future__ import annotations
@@ -22,25 +24,29 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import arrow_type
-from .shared import components, documents, materialise
+from .shared import components, documents, materialise, partitions_for
 
 SHINGLE = 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 75
 ORDERS = 3
 BLOCK_CHARS = 24_000_000
-#: Pivot rounds before the pairs across components that are left are verified one by one, and how many of
-#: these a round's incidence may be worth before another round is taken instead.
+#: Pivot rounds at most before what is left is compared outright, and how many of these comparisons a row may be worth
+#: before another round is taken instead. Neither changes the result.
 ROUNDS = 4
 PAIRS_PER_ROW = 8
+#: Bytes that are kept of a token's hash.
+TOKEN = 6
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_TOP = 1 << 40
+_squeeze = zstandard.ZstdCompressor(level=1)
+_unsqueeze = zstandard.ZstdDecompressor()
 
 
 def _scramble(h: np.ndarray) -> np.ndarray:
@@ -63,39 +69,62 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return np.unique(_scramble(h))
 
 
-ROWS = T.StructType(
-    [T.StructField("bucket", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("set", T.LongType()), T.StructField("n", T.LongType()), T.StructField("text_hash", T.LongType()), T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())]
-)
-ARROW = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
 #: Kinds of rows: a document, a set, tokens with their sets, tokens that go back to their sets.
 DOC, SET, TOKENS, SHARED = 0, 1, 2, 3
+#: check: of a document the hash of its text, of a set a second name. a to d: packed tokens, sets, set names and classes.
+ROWS = T.StructType(
+    [T.StructField("bucket", T.IntegerType()), T.StructField("kind", T.IntegerType())]
+    + [T.StructField(x, T.LongType()) for x in ("set", "n", "check")]
+    + [T.StructField(x, T.BinaryType()) for x in "abcd"]
+)
+ARROW = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+
+
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
 
 
 def _text_hash(text: bytes) -> int:
     """Spark's xxhash64 of a text."""
-    h = xxhash.xxh64_intdigest(text, seed=42)
-    return h - (1 << 64) if h >> 63 else h
+    return _signed(xxhash.xxh64_intdigest(text, seed=42))
 
 
-def _narrow(values: np.ndarray, width: int) -> bytes:
-    """The low ``width`` bytes of each value."""
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+def _pack(values: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of each value, byte plane by byte plane, compressed."""
+    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return _squeeze.compress(planes.tobytes())
 
 
-def _widen(blob: bytes, width: int) -> np.ndarray:
-    raw = np.frombuffer(blob, np.uint8).reshape(-1, width)
-    full = np.zeros((len(raw), 8), np.uint8)
-    full[:, :width] = raw
+def _unpack(blob: bytes, width: int) -> np.ndarray:
+    planes = np.frombuffer(_unsqueeze.decompress(blob), np.uint8).reshape(width, -1)
+    full = np.zeros((planes.shape[1], 8), np.uint8)
+    full[:, :width] = planes.T
     return full.view("<u8").ravel()
 
 
+def _incidence(tokens: np.ndarray, sets: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Packed tokens, and their sets as numbers into a list of names."""
+    names, number = np.unique(sets, return_inverse=True)
+    return _pack(tokens, TOKEN), _pack(number, 4), names.astype("<i8").tobytes()
+
+
+def _members(a: bytes, b: bytes, c: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return _unpack(a, TOKEN), np.frombuffer(c, "<i8")[_unpack(b, 4)]
+
+
 def _batches(rows: list[tuple], key_type: pa.DataType, names: list[str]):
     for at in range(0, len(rows), 500):
         part = list(zip(*rows[at : at + 500]))
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(part, [*ARROW, key_type])], names=names)
 
 
-def _scan(docs: DataFrame, buckets: int, size: int) -> DataFrame:
+def _by(to: np.ndarray) -> list[np.ndarray]:
+    """Places of equal values of ``to``, each in the order in which they stand."""
+    order = np.argsort(to, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(to[order])) + 1) if len(order) else []
+
+
+def _scan(docs: DataFrame, buckets: int, size: int, seed: int) -> DataFrame:
     """Documents, sets and packed tokens of all texts."""
     schema = T.StructType([*ROWS.fields, T.StructField("key", docs.schema[0].dataType)])
     key_type = arrow_type(docs.schema[0].dataType)
@@ -103,18 +132,15 @@ def _scan(docs: DataFrame, buckets: int, size: int) -> DataFrame:
     def run(batches):
         cache: dict[bytes, int] = {}
         digest = xxhash.xxh3_64_intdigest
-        held, names, seen, chars = [], [], set(), 0
+        held, names, seen, chars = [], [], {}, 0
 
         def flush():
-            tokens = np.concatenate(held)
-            sets = np.repeat(np.array(names, np.uint64), [len(x) for x in held])
-            bucket = (tokens >> np.uint64(40)) % np.uint64(buckets)
-            order = np.argsort(bucket, kind="stable")
-            edges = np.flatnonzero(np.diff(bucket[order])) + 1
-            rows = []
-            for part in np.split(order, edges) if len(order) else []:
-                rows.append((int(bucket[part[0]]), TOKENS, None, len(part), None, _narrow(tokens[part], 5), _narrow(sets[part], 6), None))
-            return rows
+            tokens = np.concatenate(held) & np.uint64((1 << 8 * TOKEN) - 1)
+            sets = np.repeat(np.array(names, np.int64), [len(x) for x in held])
+            order = np.argsort(tokens)
+            tokens, sets = tokens[order], sets[order]
+            bucket = (_scramble(tokens) % np.uint64(buckets)).astype(np.int64)
+            return [(int(bucket[part[0]]), TOKENS, None, len(part), None, *_incidence(tokens[part], sets[part]), None, None) for part in _by(bucket)]
 
         for batch in batches:
             rows = []
@@ -127,14 +153,18 @@ def _scan(docs: DataFrame, buckets: int, size: int) -> DataFrame:
                 hashes = np.fromiter([known(w) or cache.setdefault(w, digest(w)) for w in words], np.uint64, len(words))
                 tokens = shingle_hashes(hashes, size)
                 n = len(tokens)
-                name = (xxhash.xxh3_64_intdigest(tokens.tobytes()) >> 16) if n else None
-                rows.append((int(digest(repr(key).encode()) % buckets), DOC, name, n, _text_hash(text), None, None, key))
-                if n and name not in seen:
-                    seen.add(name)
-                    rows.append((name % buckets, SET, name, n, None, None, None, None))
-                    held.append(tokens)
-                    names.append(name)
-                    chars += len(text)
+                name = check = None
+                if n:
+                    both = xxhash.xxh3_128_intdigest(tokens.tobytes(), seed=seed)
+                    name, check = _signed(both >> 64), _signed(both & ((1 << 64) - 1))
+                rows.append((int(digest(repr(key).encode()) % buckets), DOC, name, n, _text_hash(text), None, None, None, None, key))
+                if n and seen.get(name) != check:
+                    rows.append((name % buckets, SET, name, n, check, None, None, None, None, None))
+                    if name not in seen:
+                        held.append(tokens)
+                        names.append(name)
+                        chars += len(text)
+                    seen[name] = check
                     if chars >= BLOCK_CHARS:
                         yield from _batches(flush(), key_type, schema.names)
                         held.clear(), names.clear(), seen.clear()
@@ -148,64 +178,76 @@ def _scan(docs: DataFrame, buckets: int, size: int) -> DataFrame:
 
 def _count(batches, buckets: int, key_type: pa.DataType, names: list[str]):
     """Tokens that more than one set has, back to these sets. Other rows pass through."""
-    held: dict[int, list[tuple[bytes, bytes]]] = {}
+    held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
     for batch in batches:
         kinds = batch.column(1).to_numpy()
         if (kinds != TOKENS).any():
             yield batch.filter(pa.array(kinds != TOKENS))
         for i in np.flatnonzero(kinds == TOKENS).tolist():
-            held.setdefault(batch.column(0)[i].as_py(), []).append((batch.column(5)[i].as_py(), batch.column(6)[i].as_py()))
+            held.setdefault(batch.column(0)[i].as_py(), []).append(_members(*[batch.column(k)[i].as_py() for k in (5, 6, 7)]))
     for bucket in list(held):
         parts = held.pop(bucket)
-        tokens, sets = _widen(b"".join(p[0] for p in parts), 5), _widen(b"".join(p[1] for p in parts), 6)
+        every, owners = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         del parts
-        order = np.lexsort((sets, tokens))
-        tokens, sets = tokens[order], sets[order]
-        new = np.ones(len(tokens), bool)
-        new[1:] = (tokens[1:] != tokens[:-1]) | (sets[1:] != sets[:-1])
-        tokens, sets = tokens[new], sets[new]
-        starts = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
-        counts = np.diff(np.r_[starts, len(tokens)])
-        df = np.repeat(counts, counts)
-        keep = df > 1
-        tokens, sets, df = tokens[keep] + np.uint64(bucket) * np.uint64(_TOP), sets[keep], df[keep]
-        # Frequency classes of an eighth of a power of two: finer ones don't order any better.
-        classes = np.minimum(255, np.floor(np.log2(df) * 8)).astype(np.uint8)
-        to = sets % np.uint64(buckets)
-        order = np.argsort(to, kind="stable")
-        edges = np.flatnonzero(np.diff(to[order])) + 1
-        rows = []
-        for part in np.split(order, edges) if len(order) else []:
-            packed = _narrow(sets[part], 6) + classes[part].tobytes()
-            rows.append((int(to[part[0]]), SHARED, None, len(part), None, tokens[part].astype("<u8").tobytes(), packed, None))
-        yield from _batches(rows, key_type, names)
+        # An eighth of the hashes at a time: what sorting takes is small beside the bucket itself.
+        for slice_ in range(8):
+            some = (every >> np.uint64(8 * TOKEN - 3)) == np.uint64(slice_)
+            tokens, sets = every[some], owners[some]
+            order = np.lexsort((sets, tokens))
+            tokens, sets = tokens[order], sets[order]
+            new = np.ones(len(tokens), bool)
+            new[1:] = (tokens[1:] != tokens[:-1]) | (sets[1:] != sets[:-1])
+            tokens, sets = tokens[new], sets[new]
+            if not len(tokens):
+                continue
+            starts = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
+            counts = np.diff(np.r_[starts, len(tokens)])
+            df = np.repeat(counts, counts)
+            keep = df > 1
+            tokens, sets, df = tokens[keep], sets[keep], df[keep]
+            # Frequency classes of an eighth of a power of two: finer ones don't order any better.
+            classes = np.minimum(255, np.floor(np.log2(df) * 8)).astype(np.uint8)
+            to = sets % buckets
+            rows = [(int(to[part[0]]), SHARED, None, len(part), None, *_incidence(tokens[part], sets[part]), classes[part].tobytes(), None) for part in _by(to)]
+            yield from _batches(rows, key_type, names)
 
 
 SETS = T.StructType(
-    [T.StructField("kind", T.IntegerType()), T.StructField("set", T.LongType()), T.StructField("n", T.LongType()), T.StructField("text_hash", T.LongType()), T.StructField("tokens", T.ArrayType(T.LongType())), T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("others", T.ArrayType(T.ArrayType(T.LongType())))]
-)
+    [T.StructField("kind", T.IntegerType())]
+    + [T.StructField(x, T.LongType()) for x in ("set", "n", "check", "rank")]
+    + [T.StructField("tokens", T.ArrayType(T.LongType())), T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("others", T.ArrayType(T.ArrayType(T.LongType())))]
+)
 _LONGS = pa.list_(pa.int64())
+_SETS = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), _LONGS, _LONGS, pa.list_(_LONGS)]
+#: Two different sets of one name, which asks for other names.
+CLASH = 4
+
+
+def _set_batches(rows, key_type):
+    for at in range(0, len(rows), 200):
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows[at : at + 200]), [*_SETS, key_type])], names=[*SETS.names, "key"])
 
 
-def _collect_sets(batches, percent: int, orders: int):
+def _collect_sets(batches, percent: int, orders: int, key_type: pa.DataType):
     """Documents, and the sets that have shared tokens in their prefix: these tokens and the prefix in each order."""
-    sizes: dict[int, int] = {}
-    tokens, sets, classes = [], [], []
-    key_type = None
+    known: dict[int, tuple[int, int]] = {}
+    tokens, sets, classes, clashes = [], [], [], []
     for batch in batches:
-        key_type = batch.schema.field(7).type
         kinds = batch.column(1).to_numpy()
         docs = batch.filter(pa.array(kinds == DOC))
         if n := docs.num_rows:
-            arrays = [pa.array([DOC] * n, pa.int32()), docs.column(2), docs.column(3), docs.column(4), pa.nulls(n, _LONGS), pa.nulls(n, _LONGS), pa.nulls(n, pa.list_(_LONGS)), docs.column(7)]
+            arrays = [pa.array([DOC] * n, pa.int32()), docs.column(2), docs.column(3), docs.column(4), *[pa.nulls(n, t) for t in _SETS[4:]], docs.column(9)]
             yield pa.RecordBatch.from_arrays(arrays, names=[*SETS.names, "key"])
-        for i in np.flatnonzero(kinds == SET).tolist():
-            sizes[batch.column(2)[i].as_py()] = batch.column(3)[i].as_py()
+        own = batch.filter(pa.array(kinds == SET))
+        for name, n, check in zip(*[own.column(k).to_pylist() for k in (2, 3, 4)]):
+            if known.setdefault(name, (n, check)) != (n, check):
+                clashes.append((CLASH, name, n, check, None, None, None, None, None))
         for i in np.flatnonzero(kinds == SHARED).tolist():
-            n, packed = batch.column(3)[i].as_py(), batch.column(6)[i].as_py()
-            tokens.append(np.frombuffer(batch.column(5)[i].as_py(), "<u8"))
-            sets.append(_widen(packed[: 6 * n], 6))
-            classes.append(np.frombuffer(packed[6 * n :], np.uint8))
+            got = _members(*[batch.column(k)[i].as_py() for k in (5, 6, 7)])
+            tokens.append(got[0])
+            sets.append(got[1])
+            classes.append(np.frombuffer(batch.column(8)[i].as_py(), np.uint8))
+    yield from _set_batches(clashes, key_type)
     if not tokens:
         return
     tokens, sets, classes = np.concatenate(tokens), np.concatenate(sets), np.concatenate(classes)
@@ -215,88 +257,96 @@ def _collect_sets(batches, percent: int, orders: int):
     rows = []
     for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(sets)]):
         name = int(sets[a])
-        n = sizes[name]
+        n, check = known[name]
         # One token more than the bound asks for makes up for two tokens of a set that agree in what is kept of them.
         prefix = n - -(-percent * n // 100) + 2 - (n - (b - a))
         if prefix <= 0:
             continue
         own = tokens[a:b]
         first, *others = [own[np.lexsort((_scramble(own + np.uint64(k << 50)), classes[a:b]))][:prefix].astype(np.int64) for k in range(orders)]
-        rows.append((SET, name, n, None, own.astype(np.int64), first, others, None))
+        rows.append((SET, name, n, check, int(classes[a:b].sum(dtype=np.int64)) * 1000 // n, own.astype(np.int64), first, others, None))
         if len(rows) == 200:
-            yield _set_batch(rows, key_type)
+            yield from _set_batches(rows, key_type)
             rows = []
-    if rows:
-        yield _set_batch(rows, key_type)
-
-
-def _set_batch(rows, key_type):
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), _LONGS, _LONGS, pa.list_(_LONGS), key_type]
-    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)], names=[*SETS.names, "key"])
+    yield from _set_batches(rows, key_type)
 
 
 def shingle_sets(docs: DataFrame, size: int, percent: int, orders: int) -> tuple[DataFrame, DataFrame]:
-    """(key, set, n, text_hash) of all documents and (set, n, tokens, prefix, others) of sets that may link, as written tables."""
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """(key, set, n, text_hash) of all documents and (set, n, rank, tokens, prefix, others) of sets that may link, as written tables."""
+    buckets = partitions_for(docs)
     rows = docs.select(F.col("doc_id").alias("key"), F.col("text").cast("binary").alias("text"))
     key = rows.schema[0]
     key_type = arrow_type(key.dataType)
     schema = T.StructType([*ROWS.fields, T.StructField("key", key.dataType)])
     names = schema.names
-    counted = _scan(rows, buckets, size).repartition(buckets, "bucket").mapInArrow(lambda b: _count(b, buckets, key_type, names), schema)
-    whole = counted.repartition(buckets, "bucket").mapInArrow(
-        lambda b: _collect_sets(b, percent, orders), T.StructType([*SETS.fields, T.StructField("key", key.dataType)])
-    )
-    table = materialise(whole)
-    return table.where(f"kind = {DOC}").select("key", "set", "n", "text_hash"), table.where(f"kind = {SET}").drop("kind", "key", "text_hash")
+    seed = 0
+    while True:
+        counted = _scan(rows, buckets, size, seed).repartitionById(buckets, "bucket").mapInArrow(lambda b: _count(b, buckets, key_type, names), schema)
+        whole = counted.repartitionById(buckets, "bucket").mapInArrow(
+            lambda b: _collect_sets(b, percent, orders, key_type), T.StructType([*SETS.fields, T.StructField("key", key.dataType)])
+        )
+        table = materialise(whole)
+        if table.where(f"kind = {CLASH}").isEmpty():
+            break
+        seed += 1  # two sets of one 64-bit name but of different second names: name all sets anew
+    return table.where(f"kind = {DOC}").selectExpr("key", "set", "n", "check AS text_hash"), table.where(f"kind = {SET}").drop("kind", "key", "check")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int, orders: int) -> DataFrame:
-    """Those of pairs(a, b) that link. The prefixes under all orders must meet before tokens are counted."""
-    side = lambda x: sets.select(*[F.col(c).alias(f"{x}_{c}") for c in ("set", "n", "tokens", "others")])
-    both = pairs.join(side("b"), F.expr("b = b_set")).join(side("a"), F.expr("a = a_set"))
-    for k in range(orders - 1):
-        both = both.where(F.arrays_overlap(F.col("a_others")[k], F.col("b_others")[k]))
+    """Those of pairs(a, b) that link. The prefixes under all orders must meet before tokens are joined and counted."""
+    side = lambda x, *columns: sets.select(*[F.col(c).alias(f"{x}_{c}") for c in ("set", *columns)])
+    both = pairs
+    if orders > 1:
+        both = both.join(side("b", "others"), F.expr("b = b_set")).join(side("a", "others"), F.expr("a = a_set"))
+        for k in range(orders - 1):
+            both = both.where(F.arrays_overlap(F.col("a_others")[k], F.col("b_others")[k]))
+        both = both.select("a", "b")
+    both = both.join(side("b", "n", "tokens"), F.expr("b = b_set")).join(side("a", "n", "tokens"), F.expr("a = a_set"))
     common = F.size(F.array_intersect("a_tokens", "b_tokens"))
     return both.where(common * 100 >= (F.col("a_n") + F.col("b_n") - common) * percent).select("a", "b")
 
 
 def candidate_groups(sets: DataFrame) -> DataFrame:
-    """(set, n, token) of the tokens that several sets have in their prefixes, one token for each group of sets.
+    """(set, n, rank, pos, token) of the tokens that several sets have in their prefixes, one token for each group of sets.
 
     Near copies share dozens of prefix tokens, and these have the same members: tokens whose number of members and sums of
-    two member hashes agree ask for the same pairs, so one of them is enough.
+    two member hashes agree ask for the same pairs, so the one that comes first in the order is enough. pos is the
+    token's place among all tokens of the set.
     """
-    tokens = sets.select("set", "n", F.explode("prefix").alias("token"))
+    place = F.col("n") - F.size("tokens")  # tokens of one set only come before
+    tokens = sets.select("set", "n", "rank", place.alias("alone"), F.posexplode("prefix").alias("at", "token"))
+    tokens = tokens.select("set", "n", "rank", (F.col("alone") + F.col("at")).alias("pos"), "token")
     wide = lambda seed: F.sum(F.xxhash64(F.lit(seed), "set").cast("decimal(20,0)"))
-    members = tokens.groupBy("token").agg(F.count("*").alias("m"), wide(1).alias("h1"), wide(2).alias("h2")).where("m > 1")
-    chosen = members.groupBy("m", "h1", "h2").agg(F.min("token").alias("token")).select("token")
+    members = tokens.groupBy("token").agg(F.count("*").alias("m"), wide(1).alias("h1"), wide(2).alias("h2"), F.sum("pos").alias("pos")).where("m > 1")
+    chosen = members.groupBy("m", "h1", "h2").agg(F.min_by("token", F.struct("pos", "token")).alias("token")).select("token")
     return materialise(tokens.join(chosen, "token", "left_semi"))
 
 
 def link_sets(sets: DataFrame, percent: int, orders: int, rounds: int = ROUNDS, worth: int = PAIRS_PER_ROW) -> DataFrame:
     """Components (node, component) of the sets that link with another."""
-    near = f"least(n, p.n) * 100 >= greatest(n, p.n) * {percent}"
+    # Behind the first common token both have room for the overlap that links: n - pos tokens, and one for those that agree.
+    fits = f"(least(n - pos, p.n - p.pos) + 1) * {100 + percent} >= (n + p.n) * {percent} AND least(n, p.n) * 100 >= greatest(n, p.n) * {percent}"
     tokens = candidate_groups(sets)
     labels = edges = before = None
     for turn in range(rounds + 1):
         named = tokens if labels is None else tokens.join(labels, F.expr("set = node"), "left")
-        named = named.select("set", "n", "token", (F.col("set") if labels is None else F.coalesce("component", "set")).alias("comp"))
-        groups = named.groupBy("token", "comp").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64(F.lit(turn), "set"), "set", "n", "comp")).alias("p"))
-        groups = groups.groupBy("token").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("m2"), F.min("p").alias("p"), F.count("*").alias("comps"))
-        groups = materialise(groups.where("comps > 1"))
-        left = groups.agg(F.sum("m").alias("rows"), F.sum((F.col("m") * F.col("m") - F.col("m2")) / 2).alias("pairs")).first()
+        named = named.select("set", "n", "rank", "pos", "token", (F.col("set") if labels is None else F.coalesce("component", "set")).alias("comp"))
+        # First the most central of all members; later the most central one of any component.
+        best = F.struct((F.col("rank") if turn == 0 else F.xxhash64(F.lit(turn), "comp")).alias("by"), "rank", "set", "n", "pos", "comp")
+        # The shorter of two sets that link has no more than a share of its tokens before the first common one.
+        short = F.expr(f"(n - pos + 1) * {100 + percent} >= 2 * n * {percent}")
+        groups = named.groupBy("token", "comp").agg(F.count("*").alias("m"), F.max(best).alias("p"), F.max(short).alias("short"))
+        groups = groups.groupBy("token").agg(F.sum("m").alias("m"), F.max(F.struct("m", "comp")).alias("main"), F.max("p").alias("p"), F.count("*").alias("comps"), F.max("short").alias("short"))
+        groups = materialise(groups.where("comps > 1 AND short"))
+        left = groups.agg(F.sum("m").alias("rows"), F.sum((F.col("m") - F.col("main.m")) * F.col("m")).alias("pairs")).first()
         if not left["rows"]:
             break
-        # Pivots pay while they shrink what is left; then every pair across components is verified.
+        # Pivots pay while they shrink what is left; then what is outside of a token's largest component meets the others.
         last = turn == rounds or left["pairs"] <= worth * left["rows"] or (before is not None and worth > 0 and left["pairs"] > 0.7 * before)
         before = left["pairs"]
-        if last:
-            active = named.join(groups.select("token"), "token", "left_semi")
-            pairs = active.join(active.selectExpr("token", "struct(set, n, comp) AS p"), "token").where("comp < p.comp")
-        else:
-            pairs = named.join(groups.select("token", "p"), "token").where("comp <> p.comp")
-        pairs = materialise(pairs.where(near).select(F.least("set", "p.set").alias("a"), F.greatest("set", "p.set").alias("b")).distinct())
+        open_ = named.join(groups.select("token", "p", F.col("main.comp").alias("main")), "token")
+        pairs = _outside(open_, percent) if last else open_.where("comp <> p.comp")
+        pairs = materialise(pairs.where(fits).select(F.least("set", "p.set").alias("a"), F.greatest("set", "p.set").alias("b")).distinct())
         found = verified(pairs, sets, percent, orders)
         edges = materialise(found if edges is None else edges.unionByName(found))
         labels = materialise(components(edges))
@@ -306,6 +356,15 @@ def link_sets(sets: DataFrame, percent: int, orders: int, rounds: int = ROUNDS,
     return labels if labels is not None else sets.selectExpr("set AS node", "set AS component").limit(0)
 
 
+def _outside(rows: DataFrame, percent: int) -> DataFrame:
+    """Rows of a token outside of its main component, each with those of other components as p, in the bands of sizes that
+    can link: sets that link lie in one band or in neighbouring ones. Two rows outside of it meet once."""
+    band = F.floor(F.ln("n") / F.ln(F.lit(100.0 / percent)) if percent < 100 else F.col("n")).cast("long")
+    first = rows.where("comp <> main").select("token", "set", "n", "pos", "comp", F.explode(F.array(band - 1, band, band + 1)).alias("band"))
+    second = rows.select("token", F.struct("set", "n", "pos", "comp").alias("p"), (F.col("comp") == F.col("main")).alias("inside"), band.alias("band"))
+    return first.join(second, ["token", "band"]).where("comp <> p.comp AND (inside OR set < p.set)")
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, orders: int = ORDERS) -> DataFrame:
     """Each row of docs with its number of shingles and its component of links.
 
@@ -319,8 +378,9 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
 
     A null, empty or blank text has no shingles and links with nothing. Rows with one doc_id and different texts
     are different documents. An empty table gives an empty result. Other columns don't matter.
-    Tokens are compared by 40 bits and their bucket, sets are named by 48 bits: two documents of 500 shingles are
-    mistaken for closer than they are about once in 10^8 pairs that come to verification.
+    Sets are named by 64 bits and told apart by 64 more; should a name be given twice, all sets get others. Tokens are compared
+    by 48 bits: two documents of 500 shingles are mistaken for closer than they are about once in 10^9 pairs that come
+    to verification.
     """
     every, sets = shingle_sets(docs, size, percent, orders)
     labels = link_sets(sets, percent, orders)
@@ -339,13 +399,16 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
 
 
 def drop_near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
-    """docs with one document of each component: the one with the smallest doc_id. Rows that repeat are dropped, too."""
-    kept = near_duplicates(docs, **parameters).where("leader").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_kept")).distinct()
-    names = docs.columns
-    keyed = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    joined = keyed.join(kept, F.expr("_hash = _kept AND doc_id <=> _id"))
-    first = Window.partitionBy("_hash", "doc_id").orderBy("_hash")
-    return joined.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").select(*[F.col(f"`{x}`") for x in names])
+    """docs with one document of each component: the one with the smallest doc_id. Of rows that repeat doc_id and text one stays.
+
+    Rows keep all columns, whatever their names and types. Texts of no shingles stay. Repeated rows are thinned out in each
+    task before the shuffle.
+    """
+    kept = near_duplicates(docs, **parameters).where("leader").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+    first = Window.partitionBy("text_hash", "doc_id").orderBy("text_hash")
+    rows = rows.withColumn("nth", F.row_number().over(first)).where("nth = 1")
+    return rows.join(kept, F.expr("text_hash = hash AND doc_id <=> id"), "left_semi").select("row.*")
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

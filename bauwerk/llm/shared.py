@@ -17,14 +17,29 @@ _tables: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, spark.checkpoint.dir; a folder of its own only where that is unset."""
+    """The cluster's shared folder, spark.checkpoint.dir. Where that is unset, a folder of its own on a local master; on a
+    cluster an error, as executors would write tables to disks of their own."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="bauwerk-")
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+#: Bytes of input files for each partition of a shuffle that holds its share of the input in a task's memory.
+PART_BYTES = 32 << 20
+
+
+def partitions_for(docs: DataFrame) -> int:
+    """Partitions for such a shuffle: as many as the session sets, and more where the input's files ask for it."""
+    leaves = docs._jdf.queryExecution().analyzed().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    known = sum(s for s in sizes if s < 1 << 60)  # rows that are no table count as 2^63 - 1
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-known // PART_BYTES))
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends in a table that outlives executors.
 

@@ -77,6 +77,47 @@ def test_nulls_short_texts_and_repeated_rows(spark):
     ]
 
 
+def test_extra_columns_come_back_as_they_were(spark):
+    docs = spark.sql("""SELECT id AS doc_id, IF(id < 40, 'same text here', concat('text number ', id)) AS text, id + 7 AS _hash, -id AS _nth, 'k' AS kept, id AS id,
+        id AS hash, id * 2 AS _kept, id * 3 AS _id, map('a', id) AS row, id AS nth, 'h' AS text_hash FROM range(50)""")
+    docs = docs.unionByName(docs).unionByName(docs)
+    kept = jaccard.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    want = {r.doc_id: r for r in docs.collect() if r.doc_id == 0 or r.doc_id >= 40}
+    assert sorted(kept.collect(), key=lambda r: r.doc_id) == [want[i] for i in sorted(want)]
+
+
+def test_sets_of_one_name_are_named_anew(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{(i // 2) * 7 + k}" for k in range(12))) for i in range(40)]
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA)
+    real, tried = jaccard._scan, []
+
+    def scan(docs, buckets, size, seed):
+        tried.append(seed)
+        if seed:
+            return real(docs, buckets, size, seed)
+        made = real(docs, buckets, size, seed)
+        return made.selectExpr("bucket % 1 AS bucket", "kind", "`set` % 3 AS `set`", "n", "check", "a", "b", "c", "d", "key").where("kind <> 2")
+
+    monkeypatch.setattr(jaccard, "_scan", scan)
+    got = jaccard.near_duplicates(docs).select("doc_id", "n_shingles", "component_id").collect()
+    assert tried == [0, 1] and sorted(map(tuple, got), key=str) == brute(rows)
+
+
+def test_rows_outside_of_the_main_component_meet_the_others(spark):
+    rnd = random.Random(21)
+    families = [[f"f{k}x{i}" for i in range(50)] for k in range(6)]
+    shared = [f"shared{i}" for i in range(25)]
+    rows = []
+    for i in range(150):
+        base = families[i % 6][: rnd.choice([8, 20, 50])]
+        rows.append((i, " ".join(edited(rnd, base, rnd.randint(0, 2)) + shared)))
+    check(spark, rows)
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA)
+    got = jaccard.near_duplicates(docs, percent=50, orders=1).groupBy("component_id").count().collect()
+    assert sum(r["count"] for r in got) == 150
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert jaccard.near_duplicates(docs).count() == 0
