@@ -14,27 +14,33 @@ from pyspark.sql import functions as F
 from .shared import materialise
 from .vectors import common_length, is_valid, matrix
 
-#: Vectors that centroids, graph and pruning are fitted on: those with the smallest hashes of their ids.
-SAMPLE = 20_000
-#: Sample vectors a leaf; leaves at most. What every task holds is bounded by MAX_LISTS rows of centroids.
-LEAF = 64
+#: Vectors a list is meant to hold, copies left out, and lists at most: what every task holds is so many centroids, or twice that.
+LIST = 512
 MAX_LISTS = 4096
+#: Sample vectors a list: centroids, graph and pruning are fitted on LEAF vectors for each list, those with the smallest
+#: hashes of their ids; 262,144 at most.
+LEAF = 64
 #: A vector also goes to lists whose centroid is at most so many times as far as its nearest, up to COPIES in all.
-REPLICATE = 1.03
+REPLICATE = 1.1
 COPIES = 3
 #: Share of sample neighbours that the pruning ratio must keep.
-RECALL = 0.985
+RECALL = 0.96
+#: Share of the sample that distances are scaled for; vectors longer than these are in a list that every query searches.
+USUAL = 0.999
 #: Rows of a posting list that one task searches; longer lists are split.
 SHARD = 4096
-#: Queries of which a task merges results in memory.
-MERGED = 20_000
+#: Results that a task gathers before it keeps the best of each query.
+GATHERED = 1_000_000
+#: Queries of which a task holds results before it sends them on.
+MERGED = 50_000
 K = 20
 SEED = 17
 
 
 class Index:
     """Centroids of balanced clusters, a graph over them, and the pruning ratio. Inner products become distances by
-    one more component, which brings all vectors to the largest norm; a query has 0 there."""
+    one more component, which brings all vectors to one norm; a query has 0 there. The few vectors that are longer than
+    this norm are in a list of their own, the last one, which every query searches."""
 
     def __init__(self, centroids: np.ndarray, graph: np.ndarray, norm: float, ratio: float):
         self.centroids, self.graph, self.norm, self.ratio = centroids, graph, norm, ratio
@@ -52,8 +58,9 @@ class Index:
         c = min(COPIES, d.shape[1])
         near = np.argpartition(d, c - 1, axis=1)[:, :c]
         dist = np.take_along_axis(d, near, axis=1)
-        rows, cols = np.nonzero(dist <= REPLICATE * dist.min(axis=1, keepdims=True))
-        return rows, near[rows, cols]
+        long = (x * x).sum(axis=1) > (self.norm * (1 + 1e-6)) ** 2
+        rows, cols = np.nonzero((dist <= REPLICATE * dist.min(axis=1, keepdims=True)) & ~long[:, None])
+        return np.r_[rows, np.flatnonzero(long)], np.r_[near[rows, cols], np.full(long.sum(), len(self.centroids))]
 
     def search(self, q: np.ndarray, ratio: float | None = None) -> list[int]:
         """Lists whose centroid is at most ratio times as far from q as the nearest: best-first over the graph until the
@@ -78,7 +85,7 @@ class Index:
             seen[new] = True
             for n, x in zip(new.tolist(), away(new).tolist()):
                 heapq.heappush(heap, (x, n))
-        return [c for d, c in found if d <= best * ratio]
+        return [*[c for d, c in found if d <= best * ratio], len(self.centroids)]
 
 
 def balanced_centroids(x: np.ndarray, leaf: int, rng: np.random.Generator) -> np.ndarray:
@@ -101,13 +108,14 @@ def balanced_centroids(x: np.ndarray, leaf: int, rng: np.random.Generator) -> np
     return np.array(means)
 
 
-def fit(sample: np.ndarray, norm: float, k: int = K, recall: float = RECALL, seed: int = SEED) -> Index:
-    """Index over the sample's clusters, with the smallest pruning ratio that keeps ``recall`` of the k nearest of
-    sample queries."""
+def fit(sample: np.ndarray, n: int, k: int = K, recall: float = RECALL, seed: int = SEED) -> Index:
+    """Index over the sample's clusters, with the smallest pruning ratio that keeps ``recall`` of the nearest of sample
+    queries: as many as stand for k among all n vectors."""
     rng = np.random.default_rng(seed)
+    norm = math.sqrt(np.quantile((sample**2).sum(axis=1), USUAL, method="higher"))
     bare = Index(np.zeros((1, sample.shape[1] + 1)), np.zeros((1, 0), int), norm, 1.0)
     lifted = bare.lifted(sample)
-    centroids = balanced_centroids(lifted, max(LEAF, math.ceil(len(sample) / MAX_LISTS)), rng)
+    centroids = balanced_centroids(lifted, LEAF, rng)
     degree = min(24, len(centroids) - 1)
     square = (centroids**2).sum(axis=1)
     d = square[:, None] - 2 * centroids @ centroids.T + square
@@ -123,7 +131,7 @@ def fit(sample: np.ndarray, norm: float, k: int = K, recall: float = RECALL, see
     width = max(map(len, both))
     graph = np.array([sorted(s) + [i] * (width - len(s)) for i, s in enumerate(both)])
     index = Index(centroids, graph, norm, 1.0)
-    queries = sample[rng.choice(len(sample), min(200, len(sample)), replace=False)]
+    queries = sample[rng.choice(len(sample), min(500, len(sample)), replace=False)]
     rows, place = index.places(sample)
     own = [set() for _ in sample]
     for r, p in zip(rows.tolist(), place.tolist()):
@@ -131,10 +139,12 @@ def fit(sample: np.ndarray, norm: float, k: int = K, recall: float = RECALL, see
     scores = queries @ sample.T
     points = np.c_[queries / np.maximum(1e-300, np.sqrt((queries**2).sum(axis=1, keepdims=True))) * norm, np.zeros(len(queries))]
     far = index.distances(points)
-    far = far / np.maximum(far.min(axis=1, keepdims=True), 1e-9)
+    far = np.c_[far / np.maximum(far.min(axis=1, keepdims=True), 1e-9), np.zeros(len(far))]
     needed = []
+    deep = math.ceil(k * len(sample) / max(n, len(sample)))
     for q, s in enumerate(scores):
-        top = np.argpartition(-s, min(k, len(s) - 1))[: k + 1]
+        top = np.argpartition(-s, min(deep, len(s) - 1))[: deep + 1]
+        top = top[np.argsort(-s[top], kind="stable")][1:] if len(top) > 1 else top  # the query itself is no neighbour
         needed += [min(far[q, p] for p in own[t]) for t in top.tolist()]
     index.ratio = max(1.0, float(np.quantile(needed, recall))) * 1.0001
     return index
@@ -151,29 +161,69 @@ def _ranked(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np
     return ids[:k], scores[:k]
 
 
-def _best(query_ids, queries, ids, x, k):
-    """For each query its k best of x by inner product; products are taken row by row, so equal vectors score equally."""
-    rough = queries @ x.T
-    slack = 1e-9 * np.sqrt((queries**2).sum(axis=1)) * np.sqrt((x**2).sum(axis=1).max())
-    for i, q in enumerate(query_ids):
-        row = np.where(ids == q, -np.inf, rough[i])
-        if len(row) > k:
-            bound = np.partition(row, len(row) - k)[len(row) - k] - slack[i]
-            some = np.flatnonzero((row >= bound) & (row > -np.inf))
-        else:
-            some = np.flatnonzero(row > -np.inf)
-        if len(some):
-            yield q, *_ranked(ids[some], (x[some] * queries[i]).sum(axis=1), k)
+class Best:
+    """The best results of a task's queries so far, as arrays; of each query the score that the next ones must reach."""
+
+    def __init__(self, k: int):
+        self.k, self.parts, self.size = k, [], 0
+        self.queries, self.bounds = np.zeros(0, np.int64), np.zeros(0)
+
+    def bound(self, queries: np.ndarray) -> np.ndarray:
+        if not len(self.queries):
+            return np.full(len(queries), -np.inf)
+        at = np.minimum(np.searchsorted(self.queries, queries), len(self.queries) - 1)
+        return np.where(self.queries[at] == queries, self.bounds[at], -np.inf)
+
+    def compare(self, query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
+        """Hold queries against rows x. Rough products choose; products that count are taken row by row, so equal vectors
+        score equally."""
+        rough = queries @ x.T
+        rough[query_ids[:, None] == ids[None, :]] = -np.inf
+        slack = 1e-9 * np.sqrt((queries**2).sum(axis=1)) * np.sqrt((x**2).sum(axis=1).max())
+        bound = self.bound(query_ids)
+        if len(ids) > self.k + 1 and len(np.unique(ids)) == len(ids):
+            bound = np.maximum(bound, np.partition(rough, len(ids) - self.k, axis=1)[:, len(ids) - self.k])
+        i, j = np.nonzero((rough >= (bound - slack)[:, None]) & (rough > -np.inf))
+        self.parts.append((query_ids[i], ids[j], (x[j] * queries[i]).sum(axis=1)))
+        self.size += len(i)
+        if self.size >= GATHERED + self.k * len(self.queries):
+            self.reduce()
+
+    def reduce(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keep the k best of each query, ties to the smaller id; of one id the best score."""
+        if not self.parts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        q, i, s = (np.concatenate(c) for c in zip(*self.parts))
+        order = np.lexsort((-s, i, q))
+        q, i, s = q[order], i[order], s[order]
+        new = np.ones(len(q), bool)
+        new[1:] = (q[1:] != q[:-1]) | (i[1:] != i[:-1])
+        q, i, s = q[new], i[new], s[new]
+        order = np.lexsort((i, -s, q))
+        q, i, s = q[order], i[order], s[order]
+        starts = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.zeros(0, np.int64)
+        counts = np.diff(np.r_[starts, len(q)])
+        keep = np.arange(len(q)) - np.repeat(starts, counts) < self.k
+        full = counts >= self.k
+        self.queries, self.bounds = q[starts], np.where(full, s[np.minimum(starts + self.k - 1, max(0, len(q) - 1))], -np.inf)
+        q, i, s = q[keep], i[keep], s[keep]
+        self.parts, self.size = [(q, i, s)], len(q)
+        return q, i, s
 
 
 _PARTIAL = "query_id long, ids array<long>, scores array<double>"
 
 
-def _partial(found: dict) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(list(found), pa.int64()), pa.array([v[0] for v in found.values()], pa.list_(pa.int64())), pa.array([v[1] for v in found.values()], pa.list_(pa.float64()))],
-        names=["query_id", "ids", "scores"],
-    )
+def _partials(q: np.ndarray, i: np.ndarray, s: np.ndarray):
+    """One row a query, in batches."""
+    starts = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.zeros(0, np.int64)
+    ends = np.r_[starts[1:], len(q)]
+    for at in range(0, len(starts), 5_000):
+        a, b = starts[at : at + 5_000], ends[at : at + 5_000]
+        offsets = pa.array(np.r_[a, b[-1]] - a[0], pa.int32())
+        some = slice(int(a[0]), int(b[-1]))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(c[some])) for c in (i, s)]
+        yield pa.RecordBatch.from_arrays([pa.array(q[a]), *lists], names=["query_id", "ids", "scores"])
 
 
 class Searcher:
@@ -188,10 +238,10 @@ class Searcher:
         if self.length is None:
             return
         self.rows = rows.where(F.size("embedding") == self.length)
-        square = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-        norm = math.sqrt(self.rows.agg(F.max(square)).first()[0])
-        some = self.rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").toArrow()
-        self.index = fit(matrix(some.column("embedding").combine_chunks()), norm, k, recall, seed)
+        n = self.rows.count()
+        lists = min(MAX_LISTS, math.ceil(n / LIST))
+        some = self.rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(LEAF * lists).select("embedding").toArrow()
+        self.index = fit(matrix(some.column("embedding").combine_chunks()), n, k, recall, seed)
         shared = self.shared = self.spark.sparkContext.broadcast(self.index)
         kind = pa.float32() if dict(rows.dtypes)["embedding"] == "array<float>" else pa.float64()
         self.kind = kind
@@ -206,7 +256,7 @@ class Searcher:
 
         element = "float" if kind == pa.float32() else "double"
         self.lists = materialise(self.rows.mapInArrow(place, f"list int, vec_id long, embedding array<{element}>"))
-        counted = self.lists.groupBy("list").count().collect()  # a row a list: MAX_LISTS at most, or twice that
+        counted = self.lists.groupBy("list").count().collect()  # a row a list: twice MAX_LISTS at most
         self.shards = {r["list"]: math.ceil(r["count"] / SHARD) for r in counted}
 
     def search(self, queries: DataFrame) -> DataFrame:
@@ -240,7 +290,7 @@ class Searcher:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shard.astype(np.int32)), pa.array(np.zeros(len(n), np.int32)), batch.column(1), batch.column(2)], names=["list", "shard", "side", "vec_id", "embedding"])
 
         def compare(batches):
-            found: dict = {}
+            best = Best(k)
             now, held, ids, x = None, [], None, None
             for batch in batches:
                 key = batch.column(0).to_numpy().astype(np.int64) << 33 | batch.column(1).to_numpy().astype(np.int64) << 1 | batch.column(2).to_numpy()
@@ -261,15 +311,11 @@ class Searcher:
                         x = np.concatenate([matrix(p.column(4)) for p in held])
                     for at in range(0, part.num_rows, 256):
                         some = part.slice(at, 256)
-                        for q, near, scores in _best(some.column(3).to_pylist(), matrix(some.column(4)), ids, x, k):
-                            if q in found:
-                                near, scores = _ranked(np.r_[found[q][0], near], np.r_[found[q][1], scores], k)
-                            found[q] = near, scores
-                    if len(found) >= MERGED:
-                        yield _partial(found)
-                        found = {}
-            if found:
-                yield _partial(found)
+                        best.compare(some.column(3).to_numpy(), matrix(some.column(4)), ids, x)
+                    if len(best.queries) >= MERGED:
+                        yield from _partials(*best.reduce())
+                        best = Best(k)
+            yield from _partials(*best.reduce())
 
         def merge(batches):
             rows, now, near, scores = [], None, None, None
@@ -306,8 +352,9 @@ def _results(rows: list[tuple]) -> pa.RecordBatch:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, **parameters) -> DataFrame:
     """The k vectors of largest inner product for each query, by balanced posting lists.
 
-    A bounded sample is cut into balanced clusters; every vector goes to its nearest list and to those nearly as
-    near; lists longer than SHARD are split. A query finds centroids by a best-first search of an in-memory graph and
+    A sample, which grows with the table up to a bound, is cut into balanced clusters, one for LIST vectors; every vector
+    goes to its nearest list and to those nearly as near; lists longer than SHARD are split. Few very long vectors, which
+    would blur all distances, have a list that every query searches. A query finds centroids by a best-first search of an in-memory graph and
     takes the lists within a ratio of the nearest distance, which is calibrated on the sample. Each list is
     searched exactly; results of a query are merged, ties to the smaller vec_id.
 

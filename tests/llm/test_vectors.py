@@ -99,6 +99,36 @@ def test_recall_and_exact_scores(spark, monkeypatch):
             assert score.get((q, i), s) == pytest.approx(s, rel=1e-12)
 
 
+def test_recall_beside_very_long_vectors(spark, monkeypatch):
+    monkeypatch.setattr(postings, "LIST", 100)
+    rng = np.random.default_rng(12)
+    x = clusters(rng, 1500, 16, 2)
+    x[7] *= 1000
+    x[11] *= 90
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    want, got = brute(rows, 20), run(spark, rows)
+    hits = sum(len({i for i, _ in want[q]} & {i for i, _ in got[q]}) for q in want)
+    assert hits >= 0.9 * sum(map(len, want.values()))
+    assert all(({7, 11} & {i for i, _ in want[q]}) <= {i for i, _ in got[q]} for q in want)
+
+
+def test_best_of_many_parts():
+    rng = np.random.default_rng(2)
+    best, k = postings.Best(3), 3
+    x, q = rng.integers(-3, 4, (300, 5)).astype(float), rng.integers(-3, 4, (40, 5)).astype(float)
+    for at in range(0, 300, 30):
+        best.compare(np.arange(40), q, np.arange(at, at + 30) % 250, x[at : at + 30])
+        if at % 90 == 0:
+            best.reduce()
+    found = list(zip(*best.reduce()))
+    for i in range(40):
+        scores = {}
+        for j in range(300):
+            if j % 250 != i:
+                scores[j % 250] = max(scores.get(j % 250, -99), x[j] @ q[i])
+        assert [(int(b), c) for a, b, c in found if a == i] == sorted(scores.items(), key=lambda t: (-t[1], t[0]))[:3]
+
+
 def test_few_vectors(spark):
     rows = [(20, [1.0, 0.0], 0), (40, [0.5, 0.5], 0), (3, [1.0, 0.0], 0)]
     assert run(spark, rows) == {20: [(3, 1.0), (40, 0.5)], 40: [(3, 0.5), (20, 0.5)]}
