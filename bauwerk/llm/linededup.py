@@ -17,12 +17,13 @@ def lines_of(text: Column) -> Column:
 
 
 def _windows(size: int) -> str:
-    """Per start of a window: its position and two hashes over its lines; windows of blank lines only are left out."""
-    at = ", ".join(f"h[i + {k}]" for k in range(size))
+    """Per start of a window: its position and two hashes, each over hashes of its lines by another seed; windows of blank
+    lines only are left out."""
+    at, again = (", ".join(f"{h}[i + {k}]" for k in range(size)) for h in "hg")
     blank = " AND ".join(f"z[i + {k}]" for k in range(size))
     return (
         f"CASE WHEN size(h) >= {size} THEN filter(transform(sequence(0, size(h) - {size}), i -> "
-        f"IF({blank}, NULL, struct(i AS pos, xxhash64({at}) AS w1, xxhash64(7, {at}) AS w2))), x -> x IS NOT NULL) END"
+        f"IF({blank}, NULL, struct(i AS pos, xxhash64({at}) AS w1, xxhash64(7, {again}) AS w2))), x -> x IS NOT NULL) END"
     )
 
 
@@ -33,7 +34,8 @@ def later_occurrences(docs: DataFrame, size: int = WINDOW) -> DataFrame:
         F.transform(lines_of(F.col("text")), lambda x: F.trim(x, F.lit(BLANKS))).alias("ls"),
     )
     keyed = keyed.where(F.size("ls") >= size).select(
-        "doc_id", "_k1", "_k2", F.transform("ls", lambda x: F.xxhash64(x)).alias("h"), F.transform("ls", lambda x: x == "").alias("z")
+        "doc_id", "_k1", "_k2", F.transform("ls", lambda x: F.xxhash64(x)).alias("h"),
+        F.transform("ls", lambda x: F.xxhash64(F.lit(7), x)).alias("g"), F.transform("ls", lambda x: x == "").alias("z")
     )
     rows = keyed.select("doc_id", "_k1", "_k2", F.explode(F.expr(_windows(size))).alias("w")).select(
         F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_k1", "_k2", F.col("w.pos").alias("pos")).alias("at"),
@@ -56,27 +58,28 @@ def dedup_lines(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     n_lines and n_removed (names that docs has already are kept and these two then left out).
 
     A null text stays null with 0 lines; an empty text has one line. Texts of fewer than ``size`` lines stay whole.
-    Rows that repeat an earlier row's doc_id and text are the same document and get the same result.
+    Rows that repeat an earlier row's doc_id and text are the same document and get the same result. An empty table gives
+    an empty one. Columns keep their values, whatever their names and types.
     Frequent passages: occurrences are counted by a partially aggregated groupBy and joined back by a join
     that AQE can split, so no window's occurrences meet in one task; a document's own positions do.
     """
-    found = later_occurrences(docs, size).select(F.col("_k1").alias("_f1"), F.col("_k2").alias("_f2"), F.col("starts").alias("_starts"))
+    found = later_occurrences(docs, size).select(F.col("_k1").alias("f1"), F.col("_k2").alias("f2"), "starts")
     names = docs.columns
-    keyed = docs.withColumn("_d1", F.xxhash64("doc_id", "text")).withColumn("_d2", F.xxhash64(F.lit(7), "doc_id", "text"))
-    joined = keyed.join(found, F.expr("_d1 = _f1 AND _d2 = _f2"), "left")
-    covered = F.array_distinct(F.flatten(F.transform("_starts", lambda s: F.sequence(s, s + (size - 1)))))
-    joined = joined.withColumn("_lines", lines_of(F.col("text"))).withColumn("_gone", F.coalesce(F.array_sort(covered), F.array().cast("array<int>")))
+    row = F.col("row")
+    keyed = docs.select(F.struct("*").alias("row"), F.xxhash64("doc_id", "text").alias("d1"), F.xxhash64(F.lit(7), "doc_id", "text").alias("d2"))
+    joined = keyed.join(found, F.expr("d1 = f1 AND d2 = f2"), "left")
+    covered = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (size - 1)))))
+    joined = joined.select("row", lines_of(row["text"]).alias("lines"), F.coalesce(F.array_sort(covered), F.array().cast("array<int>")).alias("gone"))
     # Kept stretches lie between covered ones: slices, so that work stays linear in the lines of a document.
-    edges = F.expr("concat(array(-1), _gone, array(size(_lines)))")
-    joined = joined.withColumn("_edges", edges)
+    joined = joined.withColumn("edges", F.expr("concat(array(-1), gone, array(size(lines)))"))
     kept = F.expr(
-        "flatten(filter(transform(sequence(0, size(_edges) - 2), i -> "
-        "slice(_lines, _edges[i] + 2, _edges[i + 1] - _edges[i] - 1)), x -> size(x) > 0))"
+        "flatten(filter(transform(sequence(0, size(edges) - 2), i -> "
+        "slice(lines, edges[i] + 2, edges[i + 1] - edges[i] - 1)), x -> size(x) > 0))"
     )
-    text = F.when(F.size("_gone") == 0, F.col("text")).otherwise(F.array_join(kept, "\n"))
-    extra = {"n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines")), "n_removed": F.size("_gone")}
+    text = F.when(F.size("gone") == 0, row["text"]).otherwise(F.array_join(kept, "\n"))
+    extra = {"n_lines": F.when(row["text"].isNull(), 0).otherwise(F.size("lines")), "n_removed": F.size("gone")}
     return joined.select(
-        *[(text if x == "text" else F.col(f"`{x}`")).alias(x) for x in names],
+        *[(text if x == "text" else row.getField(x)).alias(x) for x in names],
         *[c.cast("long").alias(x) for x, c in extra.items() if x not in names],
     )
 

@@ -55,3 +55,14 @@ def test_nulls_short_texts_and_repeated_rows(spark):
 def test_empty_table(spark):
     assert check(spark, [] or [(1, "a")]) == [(1, "a", 1, 0)]
     assert linededup.dedup_lines(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_extra_columns_come_back_as_they_were(spark):
+    names = ["row", "d1", "d2", "f1", "f2", "starts", "lines", "gone", "edges", "_lines", "_gone", "_starts", "h", "g", "ls"]
+    extra = ", ".join(f"id * 10 + {i} AS {x}" for i, x in enumerate(names))
+    docs = spark.sql(f"SELECT id AS doc_id, concat_ws('\\n', 'a', 'b', 'c', id) AS text, map('a', id) AS m, {extra} FROM range(20)")
+    got = linededup.dedup_lines(docs).orderBy("doc_id").collect()
+    want = docs.orderBy("doc_id").collect()
+    for a, b in zip(got, want):
+        assert a.text == (b.text if b.doc_id == 0 else str(b.doc_id))
+        assert all(a[x] == b[x] for x in docs.columns if x != "text")

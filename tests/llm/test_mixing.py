@@ -60,6 +60,29 @@ def test_mix_emits_each_copy_and_all_columns(spark):
     assert {tuple(r) for r in mixed.collect()} <= {(*r[:3], *r[3:]) for r in rows}
 
 
+NAMES = ["row", "k1", "k2", "nth", "p1", "p2", "copies", "part", "copy", "rows", "first", "offset", "each", "of", "class", "cell", "_m1", "_n", "_copies"]
+
+
+def test_extra_columns_come_back_as_they_were(spark):
+    extra = ", ".join(f"id * 10 + {i} AS {x}" for i, x in enumerate(NAMES))
+    docs = spark.sql(f"SELECT id AS doc_id, repeat('w ', 1 + id % 9) AS text, IF(id % 3 = 0, 'a', 'b') AS source, map('a', id) AS size, {extra} FROM range(200)")
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns
+    want, got = {r.doc_id: r for r in docs.collect()}, mixed.collect()
+    copies = {r.doc_id: r.copies for r in mixing.mix_copies(docs).collect()}
+    assert sorted(r.doc_id for r in got) == sorted(i for i, n in copies.items() for _ in range(n))
+    assert all(r == want[r.doc_id] for r in got)
+
+
+def test_a_row_repeated_very_often(spark):
+    docs = spark.sql("SELECT IF(id < 100000, 5, id) AS doc_id, IF(id < 100000, 'one two three', concat('a ', id)) AS text, 's' AS source FROM range(100200)")
+    copies = mixing.mix_copies(docs)
+    assert copies.count() == 100200
+    taken, sizes = copies.selectExpr("sum(copies * size)", "sum(size)").first()
+    assert abs(taken - 1.5 * sizes) <= 6
+    assert mixing.mix(docs).groupBy("doc_id").count().where("doc_id = 5").first()["count"] == copies.where("doc_id = 5").selectExpr("sum(copies)").first()[0]
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert mixing.mix_copies(docs).count() == 0
