@@ -221,9 +221,14 @@ def meet(found: DataFrame, codes: DataFrame, partitions: int) -> DataFrame:
     return found.unionByName(codes).repartition(partitions, "block").sortWithinPartitions("block", "kind")
 
 
-def partitions_of(docs: DataFrame) -> int:
-    """Partitions of a shuffle by bucket: those that the session sets."""
-    return int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Stretches of rows whose sizes sum up to at most ``most``; a larger row stands alone."""
+    ends = np.cumsum(sizes, dtype=np.int64)
+    lo, before = 0, 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield lo, hi
+        lo, before = hi, int(ends[hi - 1])
 
 
 def arrow_type(t: T.DataType) -> pa.DataType:

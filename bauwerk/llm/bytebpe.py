@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import blocks
-from .shared import documents
+from .shared import documents, partitions_for
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -90,6 +90,8 @@ class PieceCoder:
         return [w.encode() for w in self.index]
 
 
+#: Pre-tokens or ids that are worked on at once, whole texts at least.
+PIECES = 2_000_000
 #: A blank between white space; Python's class holds a few characters more than Unicode's, which only costs speed.
 _BETWEEN = re.compile(r"\s \s")
 
@@ -110,7 +112,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     Very long texts and words are encoded whole. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    n = blocks.partitions_of(docs)
+    n = partitions_for(docs)
     shared = spark.sparkContext.broadcast(vocabulary)
     rows = blocks.block_input(docs, F.lit(False), F.col("text"))
     key_spark = rows.schema[0].dataType
@@ -148,9 +150,9 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             begins, size = np.zeros(len(places), np.int64), np.zeros(len(places), np.int64)
             begins[places], size[places] = np.cumsum(lengths) - lengths, lengths
             state[:] = [{"begins": begins, "size": size, "flat": flat}]
-        keys, blobs = part.column(7), part.column(4).to_pylist()
-        for at in range(0, len(blobs), 500):
-            codes = [blocks.unpack_codes(b) for b in blobs[at : at + 500]]
+        keys, every_code = part.column(7), [blocks.unpack_codes(b) for b in part.column(4).to_pylist()]
+        for at, end in blocks.slices(np.array([len(c) for c in every_code]), PIECES):
+            codes = every_code[at:end]
             table = state[0] if state else {"begins": np.zeros(0, np.int64), "size": np.zeros(0, np.int64), "flat": np.zeros(0, np.int32)}
             every = np.concatenate(codes)
             size = table["size"][every]
@@ -159,14 +161,14 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             word_ends = np.concatenate([[0], np.cumsum([len(c) for c in codes])])
             offsets = np.concatenate([[0], ends])[word_ends].astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(table["flat"][where]))
-            yield pa.RecordBatch.from_arrays([keys.slice(at, 500), ids], names=["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([keys.slice(at, end - at), ids], names=["doc_id", "ids"])
 
     def reassemble(batches):
         for made in blocks.by_block(batches, list, learn, use):
             yield from made
 
     words = blocks.scan_words(rows, coder, n, False)
-    found = words.repartition(n, "bucket").mapInArrow(encode_words, schema)
+    found = words.repartitionById(n, "bucket").mapInArrow(encode_words, schema)
     out = T.StructType([T.StructField("doc_id", key_spark), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     return blocks.meet(found, blocks.scan_codes(rows, coder), n).mapInArrow(reassemble, out)
 
@@ -183,8 +185,9 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         length = np.fromiter(map(len, table), np.int64, len(table))
         start, data = np.cumsum(length) - length, np.frombuffer(b"".join(table), np.uint8)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            numbers = np.asarray(batch.column(1).value_lengths().fill_null(0))
+            for at, end in blocks.slices(numbers, PIECES):
+                part = batch.slice(at, end - at)
                 column = part.column(1)
                 ids = column.flatten().to_numpy(zero_copy_only=False)
                 if len(ids) and (ids.min() < 0 or ids.max() >= len(table) or not length[ids].all()):

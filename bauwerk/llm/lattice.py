@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import blocks
-from .shared import documents, id_crc, materialise
+from .shared import documents, id_crc, materialise, partitions_for
 
 #: Marks the start of a word in the vocabulary's pieces.
 START = "▁"
@@ -232,14 +232,14 @@ def score_documents(docs: DataFrame, held_out: object, start: Pieces | None = No
     """
     spark = docs.sparkSession
     start = start or read_pieces()
-    n = blocks.partitions_of(docs)
+    n = partitions_for(docs)
     rows = blocks.block_input(docs, held_out, F.col("text").cast("binary"))
     key_spark = rows.schema[0].dataType
     key_type = blocks.arrow_type(key_spark)
     coder = lambda: blocks.WordCoder(split_words)
     ends = rows.where("NOT mark").count()
     words = blocks.scan_words(rows, coder, n, True)
-    vocabulary = materialise(words.repartition(n, "bucket").mapInArrow(_gather, VOCABULARY))
+    vocabulary = materialise(words.repartitionById(n, "bucket").mapInArrow(_gather, VOCABULARY))
     known = vocabulary.where("kind = 0").agg(F.sum("types").alias("types"), F.sum("tokens").alias("tokens")).first()
     train_tokens = (known["tokens"] or 0) + ends
     types = (known["types"] or 0) + (ends > 0)
@@ -249,16 +249,17 @@ def score_documents(docs: DataFrame, held_out: object, start: Pieces | None = No
 
     def weigh(batches):
         """Of each word its count and its log10 probability, to its blocks."""
-        tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        now, counts, lattice = None, None, None  # of one bucket at a time: its words come first
         for batch in batches:
             out = []
             for bucket, kind, number, check, a, b, c in zip(*[batch.column(k).to_pylist() for k in (0, 1, 2, 3, 6, 7, 8)]):
                 if kind == 0:
                     log = shared.value.log_probability
                     lattice = np.array([log(w.decode()) / LOG10 for w in blocks.unpack_words(a, b)])
-                    tables[bucket] = np.frombuffer(c, "<u8"), lattice
+                    now, counts = bucket, np.frombuffer(c, "<u8")
                 else:
-                    counts, lattice = tables[bucket]
+                    if bucket != now:
+                        raise RuntimeError("a bucket's words are missing")
                     at = blocks.unpack_codes(b)
                     out.append((number, check, a, counts[at].astype("<u8").tobytes(), lattice[at].astype("<f8").tobytes()))
             for i in range(0, len(out), 200):
@@ -294,7 +295,7 @@ def score_documents(docs: DataFrame, held_out: object, start: Pieces | None = No
         + [T.StructField(x, T.LongType()) for x in ("n_tokens", "n_known", "train_tokens")]
         + [T.StructField(x, T.DoubleType()) for x in ("base_score", "score")]
     )
-    found = vocabulary.repartition(n, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(weigh, schema)
+    found = vocabulary.repartitionById(n, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(weigh, schema)
     met = blocks.meet(found, blocks.scan_codes(rows, coder), n)
     return met.mapInArrow(lambda b: blocks.by_block(b, list, learn, use), out)
 
