@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from bauwerk import export_sql
 from bauwerk.functions import numbers as N
 from bauwerk.functions import text as X
 from bauwerk.operators import images, parse, placeholder, repair, subtotals, validate
@@ -503,4 +504,9 @@ ORACLE_SQL = {
     "page_tags": PAGE_TAGS,
     "title_strip": TITLE_STRIP,
     "german_decimal": GERMAN_DECIMAL,
+    "export_json": export_sql.json(ITEMS),
+    "export_master_xml": export_sql.master(ITEMS),
+    "export_x83": export_sql.exchange(ITEMS, "83", False),
+    "export_x84": export_sql.exchange(ITEMS, "84", True),
+    "export_x83_priced": export_sql.exchange(ITEMS, "83", True),
 }
