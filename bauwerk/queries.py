@@ -322,6 +322,53 @@ def reference_fold(spark, sf_dir):
     return repair.fold_references(rows.drop("flag", "line")).select("doc_id", "seq", "oz", "short_text", "long_text", "page_to")
 
 
+# A row that ends with a reference draws all unpriced rows that follow in its leaf, one that ends with "und" the first of them:
+# what is glued to it closes its text.
+REFERENCE_FOLD = f"""
+WITH {ITEMS}, runs AS (
+  SELECT *, substr(oz, 1, 8) AS leaf, count(*) FILTER (flag <> 'N') OVER (PARTITION BY doc_id, substr(oz, 1, 8) ORDER BY oz, seq) AS run FROM items
+), heads AS (
+  SELECT *, max(CASE WHEN flag <> 'N' THEN flag END) OVER (PARTITION BY doc_id, leaf, run) AS head, row_number() OVER (PARTITION BY doc_id, leaf, run ORDER BY oz, seq) AS k FROM runs
+), judged AS (SELECT *, flag = 'N' AND run > 0 AND (head = 'A' OR k = 2) AS glued FROM heads), more AS (
+  SELECT doc_id, leaf, run, string_agg(oz || ' ' || short_text, chr(10) ORDER BY k) AS added FROM judged WHERE glued GROUP BY ALL
+)
+SELECT j.doc_id, j.seq, j.oz, j.short_text || CASE flag WHEN 'A' THEN ' siehe Position 1' WHEN 'R' THEN ' und' ELSE '' END AS short_text,
+  CASE WHEN flag <> 'N' THEN coalesce(added, '') ELSE '' END AS long_text, 1 AS page_to
+FROM judged j LEFT JOIN more m ON j.doc_id = m.doc_id AND j.leaf = m.leaf AND j.run = m.run WHERE NOT glued
+"""
+
+_PLAIN = "rtrim(rtrim(CAST(CAST({} AS DECIMAL(18,2)) AS VARCHAR), '0'), '.')"
+SUBTOTAL_CHECK = f"""
+WITH {ITEMS}, marked AS (
+  SELECT i.*, substr(oz, 1, 8) AS leaf, min(CASE WHEN flag = 'R' THEN seq END) OVER (PARTITION BY doc_id, substr(oz, 1, 8)) AS first,
+    bool_or(line = 1) OVER (PARTITION BY doc_id, oz) AS gb FROM items i
+), leaves AS (
+  SELECT doc_id, leaf, coalesce(sum(total_price) FILTER (flag <> 'R'), 0) AS base, sum(total_price) FILTER (flag <> 'R' OR seq = first) + CASE substr(leaf, 8, 1) WHEN '1' THEN 0 WHEN '2' THEN 1 END AS reported
+  FROM marked WHERE first IS NOT NULL GROUP BY doc_id, leaf
+), cases AS (
+  SELECT *, reported - base AS required, CASE WHEN reported IS NULL THEN 'unreported' WHEN abs(reported - base) <= 0.02 THEN 'confirmed' ELSE 'open' END AS kind FROM leaves
+), found AS (
+  SELECT doc_id, leaf, seq, oz, gb, total_price AS value, row_number() OVER (PARTITION BY doc_id, leaf ORDER BY seq) - 1 AS i FROM marked WHERE flag = 'R'
+), masks AS (
+  SELECT c.doc_id, c.leaf, c.required, unnest(range(1, 1 << CAST(n AS INTEGER))) AS mask
+  FROM cases c JOIN (SELECT doc_id, leaf, count(*) AS n FROM found GROUP BY ALL) f ON c.doc_id = f.doc_id AND c.leaf = f.leaf WHERE kind = 'open'
+), fits AS (
+  SELECT m.doc_id, m.leaf, mask, sum(gb::INT) AS score FROM masks m JOIN found f ON m.doc_id = f.doc_id AND m.leaf = f.leaf AND (mask >> CAST(i AS INTEGER)) & 1 = 1
+  GROUP BY m.doc_id, m.leaf, mask, required HAVING abs(sum(value) - required) <= 0.02
+), best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, leaf ORDER BY score DESC, bit_count(mask), mask) AS nth FROM fits), told AS (
+  SELECT f.doc_id, 'prov_check' AS code, oz, 'Eventualposition prüfen: ' || oz || ' – in der GB-Spalte wurde ein Gesamtpreis erkannt, aber keine Untertitelsumme gefunden' AS message
+    FROM found f JOIN cases c ON f.doc_id = c.doc_id AND f.leaf = c.leaf WHERE kind = 'unreported' AND gb
+  UNION ALL SELECT f.doc_id, 'prov_confirmed', oz, 'Eventualposition bestätigt durch Untertitelsumme, aber GB-Spalte auffällig: ' || oz
+    FROM found f JOIN cases c ON f.doc_id = c.doc_id AND f.leaf = c.leaf WHERE kind = 'confirmed' AND gb
+  UNION ALL SELECT f.doc_id, 'prov_fixed', oz, 'Eventualposition korrigiert: ' || oz || ' – Untertitelsumme enthält die Position; GP ' || {_PLAIN.format("value")} || ' gesetzt'
+    FROM found f JOIN best b ON f.doc_id = b.doc_id AND f.leaf = b.leaf AND nth = 1 AND (mask >> CAST(i AS INTEGER)) & 1 = 1
+  UNION ALL SELECT doc_id, 'subtotal_check', leaf, 'Untertitelsumme prüfen: ' || leaf || ' – ausgewiesen ' || {_PLAIN.format("reported")} || ', aus regulären Positionen ' || {_PLAIN.format("base")} || ', Differenz ' || {_PLAIN.format("required")}
+    FROM cases c WHERE kind = 'open' AND NOT EXISTS (SELECT 1 FROM fits f WHERE f.doc_id = c.doc_id AND f.leaf = c.leaf)
+)
+SELECT doc_id, code, oz, message, count(*) AS n FROM told GROUP BY ALL
+"""
+
+
 def _export(kind: str):
     def run(spark, sf_dir):
         tables = pipeline.parse_documents(layout_texts(spark, sf_dir))
@@ -504,6 +551,8 @@ ORACLE_SQL = {
     "page_tags": PAGE_TAGS,
     "title_strip": TITLE_STRIP,
     "german_decimal": GERMAN_DECIMAL,
+    "reference_fold": REFERENCE_FOLD,
+    "subtotal_check": SUBTOTAL_CHECK,
     "export_json": export_sql.json(ITEMS),
     "export_master_xml": export_sql.master(ITEMS),
     "export_x83": export_sql.exchange(ITEMS, "83", False),
