@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .labelled import fit_logistic, labelled_sample, sigmoid
+from .labelled import LONGEST, fit_logistic, labelled_sample, sigmoid
+from .blocks import slices
 from .shared import documents, id_crc
 
 #: Labelled texts a class that the classifier is fitted on; every other one builds dictionaries, the rest calibrates.
@@ -16,6 +18,8 @@ SAMPLE = 3_000
 DICTIONARY = 112_640
 LEVEL = 3
 THRESHOLD = 0.3
+#: Bytes of text that a task scores at once, whole texts at least.
+CHARS = 4_000_000
 
 
 class Model:
@@ -79,38 +83,45 @@ def fit(sample: list[tuple[bytes, int]], counts: dict[int, int]) -> Model:
     return model.calibrated(mean, spread, weights)
 
 
+def _sizes(batch: pa.RecordBatch, column: int) -> np.ndarray:
+    return pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+
+
 def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
     """docs' doc_id and its score, 0 to 1, higher for good text. A null text counts as empty and is scored like one.
 
-    One pass without shuffle; texts of any length are compressed whole; repeated rows get equal scores; other columns don't matter.
+    One pass without shuffle; texts of any length are compressed whole; repeated rows and equal texts get equal scores; other
+    columns don't matter. An empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
 
     def run(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
+            for lo, hi in slices(_sizes(batch, 1), CHARS):
+                part = batch.slice(lo, hi - lo)
                 scores = shared.value.scores([t or b"" for t in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64())], names=["doc_id", column])
 
     return rows.mapInArrow(run, f"doc_id {rows.schema[0].dataType.simpleString()}, {column} double")
 
 
-def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
-    return fit(*labelled_sample(docs, labels, "quality", {0: size, 1: size}))
+def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, longest: int = LONGEST) -> Model:
+    """A model of at most ``size`` labelled texts a class, none longer than ``longest`` characters. Without documents or labels
+    every score is a half."""
+    return fit(*labelled_sample(docs, labels, "quality", {0: size, 1: size}, longest))
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """docs' rows that score at least ``threshold``, with all their columns. The whole row goes through the scoring task,
-    so nothing is shuffled."""
+    """docs' rows that score at least ``threshold``, with all their columns, whatever their names and types. The whole row goes
+    through the scoring task, so nothing is shuffled. Null texts count as empty; an empty table gives an empty one."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index("text")
 
     def run(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
+            for lo, hi in slices(_sizes(batch, place), CHARS):
+                part = batch.slice(lo, hi - lo)
                 texts = [(t or "").encode() for t in part.column(place).to_pylist()]
                 yield part.filter(pa.array(shared.value.scores(texts) >= threshold))
 

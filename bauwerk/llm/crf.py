@@ -14,10 +14,12 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .labelled import fit_logistic, labelled_sample, sigmoid
+from .blocks import slices
+from .labelled import LONGEST, fit_logistic, labelled_sample, sigmoid
 from .shared import WORD, documents, id_crc
 
 #: Labelled texts of each class (0 clean, 1 toxic) that the field is fitted on.
@@ -32,6 +34,8 @@ THRESHOLD = 0.5
 REMEMBERED = 1_000_000
 #: Tokens of training lines that a step looks at together, and texts that the fit tags at once; both bound its memory.
 TOKENS, TAGGED = 200_000, 200
+#: Bytes of text that a task tags at once, whole texts at least.
+CHARS = 4_000_000
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
 
@@ -232,7 +236,7 @@ def tag(docs: DataFrame, field: Field, least: float = 0.5) -> DataFrame:
     """(doc_id, score, spans) of every row: the document's score, 0 to 1, and its offending spans with offsets in code
     points, end exclusive, and their marginal; neighbouring tokens make one span.
 
-    One pass without shuffle; texts of any length are tagged whole. A null or empty text has no tokens: it gets the
+    One pass without shuffle; texts of any length are tagged whole. An empty table gives an empty result. A null or empty text has no tokens: it gets the
     score that none give, and no spans. Repeated rows get equal results; other columns don't matter.
     """
     shared = docs.sparkSession.sparkContext.broadcast(field)
@@ -256,8 +260,8 @@ def tag(docs: DataFrame, field: Field, least: float = 0.5) -> DataFrame:
     def run(batches):
         memory = shared.value.remembering()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 5_000):
-                part = batch.slice(lo, 5_000)
+            for lo, hi in slices(pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False), CHARS):
+                part = batch.slice(lo, hi - lo)
                 texts = [t or b"" for t in part.column(1).to_pylist()]
                 p, n = shared.value.tagged(texts, memory)
                 starts = np.cumsum(n) - n
@@ -268,12 +272,15 @@ def tag(docs: DataFrame, field: Field, least: float = 0.5) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {rows.schema[0].dataType.simpleString()}, score double, spans array<struct<start: int, end: int, probability: double>>")
 
 
-def train(docs: DataFrame, labels: DataFrame, sizes: dict[int, int] | None = None) -> Field:
-    return fit(*labelled_sample(docs, labels, "toxic", sizes or SAMPLE))
+def train(docs: DataFrame, labels: DataFrame, sizes: dict[int, int] | None = None, longest: int = LONGEST) -> Field:
+    """A field of at most sizes[y] labelled texts of each class, none longer than ``longest`` characters. Without documents or labels
+    every score is a half."""
+    return fit(*labelled_sample(docs, labels, "toxic", sizes or SAMPLE, longest))
 
 
 def op5_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's toxicity score, learned from labels outside of fold 0, and how many spans offend."""
+    """Every document's toxicity score, learned from labels outside of fold 0, and its offending spans, start:end:probability joined by commas."""
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     tagged = tag(docs, train(docs, labels))
-    return tagged.select("doc_id", (id_crc() % 5 == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))
+    joined = F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"], F.format_number(s["probability"], 4)))
+    return tagged.select("doc_id", (id_crc() % 5 == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), F.size("spans").alias("n_spans"), F.array_join(joined, ",").alias("spans"))

@@ -34,13 +34,17 @@ NAMED = re.compile(
     r"|[A-Za-z0-9+_=-]+(?:\.[A-Za-z0-9+_-]+){1,8}@)"
 )
 #: Known digests and identifiers, which are random without being secret: hex digests of the usual lengths, UUIDs,
-#: plain numbers, and names joined by marks from parts of letters or digits alone.
+#: plain numbers, and names joined by marks from short parts of letters or digits alone.
 KNOWN = re.compile(
     r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64}"
-    r"|[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}|[0-9_+/=-]+|(?:[A-Za-z]+|[0-9]+)(?:[_/=+-]+(?:[A-Za-z]+|[0-9]+))*[_/=+-]*)\Z"
+    r"|[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}|[0-9_+/=-]+|(?:[A-Za-z]{1,15}|[0-9]+)(?:[_/=+-]+(?:[A-Za-z]{1,15}|[0-9]+))*[_/=+-]*)\Z"
 )
 #: At most so many characters a token: prose has about four, random strings of base64 or hex about two or less.
 RATIO = 2.3
+#: Runs without a digit must change between capital and small letters so often, and have fewer characters a token: long
+#: words of rare languages have few characters a token, too, but they are of one case.
+CHANGES, LETTERS_RATIO = 4, 2.0
+_CHANGE = re.compile(r"(?<=[a-z])[A-Z]|(?<=[A-Z])[a-z]")
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -49,14 +53,18 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def is_random(run: str, vocabulary: Vocabulary, ratio: float) -> bool:
-    """Few characters a token, letters and digits, and no known form."""
-    if not re.search(r"[0-9]", run) or not re.search(r"[A-Za-z]", run) or KNOWN.match(run):
+    """Few characters a token, letters, digits or many changes of case, and no known form."""
+    if not re.search(r"[A-Za-z]", run) or KNOWN.match(run):
         return False
+    if not re.search(r"[0-9]", run):
+        if len(_CHANGE.findall(run)) < CHANGES:
+            return False
+        ratio = min(ratio, LETTERS_RATIO)
     return len(run) <= ratio * sum(len(vocabulary.encode_piece(piece.encode())) for piece in vocabulary.split(run))
 
 
 def random_spans(text: str, vocabulary: Vocabulary, ratio: float = RATIO) -> list[tuple[int, int, str]]:
-    """Runs with few characters a token. A run needs letters and digits, and no known form.
+    """Runs with few characters a token. A run needs letters, digits or many changes of case, and no known form.
 
     After a full stop, plain names up to a slash (the rest of a host name, folders) don't count to the run, and a last
     part that begins a host or file name (NAMED) doesn't either. Where a run with slashes isn't random as a whole, as paths
@@ -94,7 +102,8 @@ def scan(docs: DataFrame, vocabulary: Vocabulary | None = None, ratio: float = R
     spans joins kind:start:end of all spans by start, then kind; offsets are code points, ends exclusive. Spans of the
     token-efficiency test that lie inside a base span are left out, as that secret is reported already. found is the
     same as an array of (kind, start, end). A null text counts as empty: no spans. Every row is scanned by itself, in
-    one pass without shuffle; repeated rows give a row each; texts are scanned whole; other columns don't matter.
+    one pass without shuffle; repeated rows give a row each; texts are scanned whole; other columns don't matter. Where kinds
+    begin at one place, the order of KINDS decides. An empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary or load_vocabulary())
     key = docs.select("doc_id").schema[0].dataType.simpleString()

@@ -51,6 +51,26 @@ def accuracy(got, rows, column, threshold):
     return sum((r.score >= threshold) == truth[r.doc_id] for r in held) / len(held)
 
 
+def test_quality_scores_against_plain_compression(spark, rows):
+    import zstandard
+
+    docs, labels = tables(spark, rows[:300])
+    model = compression.train(docs, labels)
+    dictionaries, mean, spread, weights, _ = model.state
+    texts = {i: t.encode() for i, t, _, _ in rows[:300]} | {9001: b"", 9002: b"z" * 70000}
+    more = spark.createDataFrame([(9001, None, 1, "x"), (9002, "z" * 70000, 1, "x")], DOCS)
+    for r in compression.score(docs.unionByName(more), model).collect():
+        text, size = texts[r.doc_id], []
+        for d in dictionaries:
+            pack = zstandard.ZstdCompressor(level=compression.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False)
+            size.append(len(pack.compress(text)) - len(pack.compress(b"")))
+        n = max(1, len(text))
+        bad, good = size
+        x = [(bad - good) / n, ((bad - good) / n) ** 2, min(size) / n, (min(size) / n) ** 2, (bad - good) / n * math.log(n), math.log(n)]
+        m = weights[0] + sum(w * (v - a) / s for w, v, a, s in zip(weights[1:], x, mean, spread))
+        assert r.score == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, m)))), rel=1e-9)
+
+
 def test_quality_on_held_out_rows(spark, rows):
     docs, labels = tables(spark, rows)
     model = compression.train(docs, labels)

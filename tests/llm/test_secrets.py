@@ -1,6 +1,9 @@
 import hashlib
+import random
 
+import public_tokenizers
 import pytest
+import tiktoken
 
 from bauwerk.llm import secrets
 from bauwerk.llm.bytebpe import load_vocabulary
@@ -23,9 +26,9 @@ def test_matches_do_not_overlap_and_short_ones_use_up_their_text():
 
 
 def test_random_strings_and_what_is_excluded(vocabulary):
-    random = "kJ8sQ2vLx9ZpT4wR7yUb"
-    text = f"key {random} end 123e4567-e89b-12d3-a456-426614174000 d41d8cd98f00b204e9800998ecf8427e some_long_identifier_name_2024 1234567890123456789"
-    assert [text[a:b] for a, b, _ in secrets.random_spans(text, vocabulary)] == [random]
+    key = "kJ8sQ2vLx9ZpT4wR7yUb"
+    text = f"key {key} end 123e4567-e89b-12d3-a456-426614174000 d41d8cd98f00b204e9800998ecf8427e some_long_identifier_name_2024 1234567890123456789"
+    assert [text[a:b] for a, b, _ in secrets.random_spans(text, vocabulary)] == [key]
     assert secrets.random_spans("internationalization2 responsibilities and understanding", vocabulary) == []
 
 
@@ -62,3 +65,76 @@ def test_scan(spark, vocabulary):
     assert got[4].n_hex == 2 and got[4].found[1].start == 200001
     assert secrets.scan(docs, vocabulary).count() == 7
     assert secrets.scan(docs.limit(0), vocabulary).count() == 0
+
+
+def brute_base(text):
+    """The base patterns read character by character."""
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    value = set(letters + "0123456789+/_.=-")
+    low = "".join(c.lower() if c in letters else c for c in text)
+    found = []
+
+    def run(at, chars):
+        while at < len(text) and text[at] in chars:
+            at += 1
+        return at
+
+    at = 0
+    while at < len(text):
+        end = None
+        for word in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if low.startswith(word, at):
+                p = at + len(word)
+                p += text[p : p + 1] in ("'", '"')
+                p = run(p, " ")
+                if text[p : p + 1] not in (":", "="):
+                    continue
+                p = run(p + 1, " ")
+                p += text[p : p + 1] in ("'", '"')
+                stop = run(p, value)
+                if stop > p:
+                    end = stop
+                    if stop - p >= 6:
+                        found.append((at, stop, "assign"))
+                break
+        at = end or at + 1
+    for kind, start, chars, least in (("access", "AKIA", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 20), ("hex", "", set("0123456789abcdef"), 24)):
+        at = 0
+        while at < len(text):
+            stop = run(at + len(start), chars) if text.startswith(start, at) else at
+            if stop > at + len(start):
+                if stop - at >= least:
+                    found.append((at, stop, kind))
+                at = stop
+            else:
+                at += 1
+    return sorted(found)
+
+
+def test_base_spans_against_a_scan_by_character():
+    rnd = random.Random(6)
+    parts = ["password", "Passwd", "SECRET", "token", "api_key", "apiKEY", "'", '"', " ", "  ", ":", "=", "\t", "AKIA", "ABCDEFGHIJKLMNOPQR", "0123456789abcdef", "beef", "x.y-z/", "ü", "ſecret", "12"]
+    for _ in range(4000):
+        text = "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 14)))
+        assert sorted(secrets.base_spans(text)) == brute_base(text), text
+
+
+def test_added_spans_against_the_library(vocabulary):
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocabulary.ranks, special_tokens={})
+    rnd = random.Random(7)
+    chars = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    for _ in range(300):
+        runs = [rnd.choice(["government", "Understanding", "x" * 17, "1" * 18, "".join(rnd.choice(chars) for _ in range(rnd.randint(10, 40)))]) for _ in range(12)]
+        text, want, at = " ".join(runs), [], 0
+        for run in runs:
+            changes = sum(a.isalpha() and b.isalpha() and a.islower() != b.islower() for a, b in zip(run, run[1:]))
+            limit = secrets.RATIO if any(c.isdigit() for c in run) else secrets.LETTERS_RATIO if changes >= secrets.CHANGES else 0
+            if len(run) >= secrets.LEAST and any(c.isalpha() for c in run) and len(run) <= limit * len(library.encode_ordinary(run)):
+                want.append((at, at + len(run), "random"))
+            at += len(run) + 1
+        assert secrets.random_spans(text, vocabulary) == want
+
+
+def test_letters_alone(vocabulary):
+    text = "kJwsQbvLxqZpTdwRpyUb getUserAccountNameFromRegistry donaudampfschifffahrtsgesellschaft XQZJKWVBNMPLKJHGFD"
+    assert [text[a:b] for a, b, _ in secrets.random_spans(text, vocabulary)] == ["kJwsQbvLxqZpTdwRpyUb"]
