@@ -9,6 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bauwerk.operators.images import unreadable_images
 from bauwerk.plans import pipeline
 from bauwerk.sinks import export
 from bauwerk.sources import files
@@ -43,6 +44,10 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
     blocked = 0
     for name in wanted:
         blocked |= write(exports[name], getattr(args, name), "json" if name == "json" else "xml")
+    if layouts is not None and wanted:
+        for row in unreadable_images(layouts, images).collect():  # a document's images
+            print(f"Bild {row['src']} konnte nicht gelesen werden: {row['error']}", file=sys.stderr)
+            blocked = 1
     told = export.report(tables, next((exports[n] for n in ("x84", "x83", "x83_priced") if n in exports), None)).first()
     if told:
         if told["n_images"]:
@@ -52,6 +57,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
         print("Parsing abgeschlossen" + (f" mit {told['n_warnings']} Warnungen." if told["n_warnings"] else "."), file=sys.stderr)
         for line in told["warnings"]:
             print(f"- {line}", file=sys.stderr)
+    tables.release()
     return int(blocked)
 
 

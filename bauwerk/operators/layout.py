@@ -122,12 +122,14 @@ def apply_short_texts(rows: DataFrame, shorts: DataFrame) -> DataFrame:
     return joined.select(*rows.columns)
 
 
-def post_process(rows: DataFrame, warnings: DataFrame, layouts: DataFrame | None, failures: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def post_process(rows: DataFrame, warnings: DataFrame | None, layouts: DataFrame | None, failures: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
     """(positions, warnings) after references are dropped and short texts applied. Documents without layout keep their
-    texts; failures(doc_id, error) of the layout tool become warnings of stage 3."""
+    texts; failures(doc_id, error) of the layout tool become warnings of stage 3. warnings may be left out."""
     kept = drop_references(rows)
     if layouts is not None:
         kept = apply_short_texts(kept, bold_short_texts(layouts))
+    if warnings is None:
+        return kept, None
     if failures is not None:
         told = failures.select("doc_id", F.lit(3).alias("stage"), F.lit(1).alias("ordinal"), F.lit("layout_failed").alias("code"), F.lit(None).cast("string").alias("oz"), message("layout_failed", F.lit(""), a=F.col("error")).alias("message"))
         warnings = warnings.unionByName(told)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Callable
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
@@ -12,27 +14,80 @@ from bauwerk.operators import images, layout, parse, placeholder, repair, subtot
 from bauwerk.sinks import export
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """Several tables are made from this one, so it is computed once: on disk where memory ends, and from its lineage where an
-    executor is lost."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+class Tables(dict):
+    """Tables by name. What was kept or written on the way to them stays until release(), so call it once all results are
+    written. A table that ends a lineage is made when it is first asked for."""
 
+    def __init__(self, tables: dict, owned: list | None = None):
+        super().__init__(tables)
+        self.owned = [] if owned is None else owned
 
-def _cut(df: DataFrame) -> DataFrame:
-    """The end of a lineage: written to the shared folder that the session names, so that plans that go on from here are
-    small. A folder of its own is set only where the session has none."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="bauwerk-"))
-    return df.checkpoint()
+    def __or__(self, more: dict) -> Tables:
+        return Tables(dict(dict.items(self), **more), self.owned)
 
+    def __getitem__(self, name: str) -> DataFrame:
+        table = super().__getitem__(name)
+        if not isinstance(table, DataFrame):
+            table = self[name] = table()
+        return table
 
-def parse_text(texts: DataFrame) -> dict[str, DataFrame]:
+    def items(self):
+        return [(name, self[name]) for name in self]
+
+    def values(self):
+        return [self[name] for name in self]
+
+    def kept(self, df: DataFrame) -> DataFrame:
+        """Several tables are made from this one, so it is computed once: on disk where memory ends, and from its lineage where
+        an executor is lost."""
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+        self.owned.append(df.unpersist)
+        return df
+
+    def cut(self, made: Callable[[], DataFrame]) -> Callable[[], DataFrame]:
+        """The end of a lineage: written to the shared folder that the session names, so that plans that go on from here are
+        small."""
+
+        def write() -> DataFrame:
+            df = made()
+            spark = df.sparkSession
+            path = f"{_shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+            df.write.parquet(path)
+            self.owned.append(lambda: _delete(spark, path))
+            return spark.read.schema(df.schema).parquet(path)
+
+        return write
+
+    def release(self) -> None:
+        """Forget kept tables and remove written ones. The tables can't be read any more."""
+        while self.owned:
+            self.owned.pop()()
+
+
+def _shared_dir(spark) -> str:
+    """The folder in spark.checkpoint.dir; one of its own where that is unset, which only a local master can share."""
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not found:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="bauwerk-")
+        context.setCheckpointDir(found)
+    return found
+
+
+def _delete(spark, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def parse_text(texts: DataFrame) -> Tables:
     """Tables of the raw parser, in order of appearance and uncleaned. texts: (doc_id, source, text)."""
-    rows = _kept(parse.lines(texts))
-    cut = _kept(parse.main_segments(rows))
-    found = _kept(parse.positions(cut))
-    return {
+    out = Tables({})
+    rows = out.kept(parse.lines(texts))
+    cut = out.kept(parse.main_segments(rows))
+    found = out.kept(parse.positions(cut))
+    return out | {
         "documents": parse.documents(texts, rows, cut),
         "headings": parse.headings(cut),
         "nodes": parse.hierarchy(found, parse.headings(cut)),
@@ -42,32 +97,40 @@ def parse_text(texts: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def recover_placeholders(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+def recover_placeholders(tables: Tables) -> Tables:
     """Adds positions of placeholder levels and sorts all by numeric OZ."""
-    cut = _kept(placeholder.placeholder_segments(tables["lines"]))
-    merged = _kept(placeholder.merge_positions(tables["positions"], placeholder.recovered(cut)))
+    cut = tables.kept(placeholder.placeholder_segments(tables["lines"]))
+    merged = tables.kept(placeholder.merge_positions(tables["positions"], placeholder.recovered(cut)))
     count = tables["positions"].groupBy("doc_id").agg(F.count("*").alias("n"))
     nodes = placeholder.merge_nodes(tables["nodes"], merged, placeholder.placeholder_headings(cut), count)
     return tables | {"positions": placeholder.sort_positions(merged), "nodes": nodes}
 
 
-def repair_references(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    kept = _cut(repair.fold_references(tables["positions"]))
-    return tables | {"positions": kept, "nodes": _cut(tables["nodes"]), "warnings": _cut(repair.refresh_warnings(tables["warnings"], kept)), "documents": _cut(tables["documents"])}
+def repair_references(tables: Tables) -> Tables:
+    out = tables | {"positions": tables.cut(lambda: repair.fold_references(tables["positions"]))}
+    return out | {
+        "positions": out["positions"],
+        "nodes": tables.cut(lambda: tables["nodes"]),
+        "warnings": tables.cut(lambda: repair.refresh_warnings(tables["warnings"], out["positions"])),
+        "documents": tables.cut(lambda: tables["documents"]),
+    }
 
 
-def parse_documents(texts: DataFrame, layouts: DataFrame | None = None, failures: DataFrame | None = None) -> dict[str, DataFrame]:
+def parse_documents(texts: DataFrame, layouts: DataFrame | None = None, failures: DataFrame | None = None) -> Tables:
     """All stages. layouts: (doc_id, layout_xml), where there are any; failures: (doc_id, error) of the layout tool."""
     tables = repair_references(recover_placeholders(parse_text(texts)))
-    rows, warnings = layout.post_process(tables["positions"], tables["warnings"], layouts, failures)
-    nodes = repair.clean_titles(tables["nodes"])
-    fixed = _kept(repair.repair_prices(rows))
-    warnings = repair.drop_price_warnings(warnings).unionByName(repair.price_warnings(fixed))
+    rows, _ = layout.post_process(tables["positions"], None, layouts, failures)
+    fixed = tables.kept(repair.repair_prices(rows))
     final, more = subtotals.check_subtotals(fixed.drop("_fix"), subtotals.reported_totals(tables["lines"]), subtotals.price_facts(tables["lines"]))
-    return tables | {"positions": _cut(final), "nodes": nodes, "warnings": _cut(warnings.unionByName(more))}
+
+    def warnings() -> DataFrame:
+        _, told = layout.post_process(tables["positions"], tables["warnings"], layouts, failures)
+        return repair.drop_price_warnings(told).unionByName(repair.price_warnings(fixed)).unionByName(more)
+
+    return tables | {"positions": tables.cut(lambda: final), "nodes": lambda: repair.clean_titles(tables["nodes"]), "warnings": tables.cut(warnings)}
 
 
-def export_documents(tables: dict[str, DataFrame], formats: list[str], layouts: DataFrame | None = None, files: DataFrame | None = None, now: Column | None = None, allow_conflicts: bool = False) -> dict[str, DataFrame]:
+def export_documents(tables: Tables, formats: list[str], layouts: DataFrame | None = None, files: DataFrame | None = None, now: Column | None = None, allow_conflicts: bool = False) -> dict[str, DataFrame]:
     """Exports by format: json, xml, x83, x84, x83_priced. With both priced ones, the x83 is made from the x84."""
     assigned = None
     if layouts is not None and files is not None:
@@ -93,7 +156,7 @@ def leaf_totals(rows: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", "leaf_oz").agg(F.count("*").alias("n"), F.sum("total_price").alias("total"))
 
 
-def register_views(tables: dict[str, DataFrame], prefix: str = "boq_") -> list[str]:
+def register_views(tables: Tables, prefix: str = "boq_") -> list[str]:
     """Temporary views of all tables, for SQL."""
     names = []
     for name, table in tables.items():
@@ -102,4 +165,4 @@ def register_views(tables: dict[str, DataFrame], prefix: str = "boq_") -> list[s
     return names
 
 
-__all__ = ["export_documents", "leaf_totals", "parse_documents", "parse_text", "recover_placeholders", "register_views", "repair_references"]
+__all__ = ["Tables", "export_documents", "leaf_totals", "parse_documents", "parse_text", "recover_placeholders", "register_views", "repair_references"]

@@ -21,9 +21,12 @@ def write_tables(out: str) -> Callable[[DataFrame, int], None]:
 
     def write(batch: DataFrame, number: int) -> None:
         tables = parse_documents(batch.persist())
-        for name in ("documents", "nodes", "positions", "warnings"):
-            tables[name].write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
-        batch.unpersist()
+        try:
+            for name in ("documents", "nodes", "positions", "warnings"):
+                tables[name].write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
+        finally:
+            tables.release()
+            batch.unpersist()
 
     return write
 

@@ -63,7 +63,13 @@ def test_numbers_and_texts(spark):
 
 
 def test_subsets(spark):
-    pick = lambda values, gb, need: value(spark, subtotals.matching_subset(F.array(*[F.lit(v).cast("decimal(38,2)") for v in values]), F.array(*[F.lit(g) for g in gb]), F.lit(need).cast("decimal(38,2)")))
+    def pick(values, gb, need):
+        rows = [(i, [(v, g) for v, g in zip(map(Decimal, values), gb)], Decimal(need)) for i in (0, 1)]
+        leaves = spark.createDataFrame(rows, "i int, found array<struct<value: decimal(38,2), gb: boolean>>, required decimal(38,2)")
+        chosen = {r.i: r.chosen for r in subtotals.with_matching_subset(leaves, F.col("i") == 0).collect()}
+        assert chosen[1] is None
+        return chosen[0]
+
     assert pick(["5", "3", "2"], [False] * 3, "5") == [0]
     assert pick(["5", "3", "2"], [False, True, True], "5") == [1, 2]
     assert pick(["5"], [False], "4") is None
