@@ -29,16 +29,11 @@ def build_parser() -> argparse.ArgumentParser:
 
 def run(spark: SparkSession, args: argparse.Namespace) -> int:
     """Files written, warnings to stderr; 1 if an export was blocked."""
-    layouts = images = failures = None
+    layouts = images = None
     if args.input.suffix.lower() == ".pdf":
-        texts = files.read_pdfs(spark, str(args.input)).persist()
-        read = files.read_pdf_layouts(spark, str(args.input)).persist()
-        layouts = read.where("error IS NULL").select("doc_id", "layout_xml")
-        images = read.select("doc_id", F.explode("images").alias("i")).select("doc_id", "i.src", "i.content")
-        failures = read.where("error IS NOT NULL").select("doc_id", "error")
+        tables, layouts, images = pipeline.parse_pdfs(spark, str(args.input))
     else:
-        texts = files.read_texts(spark, str(args.input))
-    tables = pipeline.parse_documents(texts, layouts, failures)
+        tables = pipeline.parse_documents(files.read_texts(spark, str(args.input)))
     wanted = [f for f in FORMATS if getattr(args, f)]
     exports = pipeline.export_documents(tables, wanted, layouts, images, allow_conflicts=args.allow_conflicts)
     blocked = 0

@@ -5,13 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bauwerk.operators import images, layout, parse, placeholder, repair, subtotals
 from bauwerk.sinks import export
+from bauwerk.sources import files
 
 
 class Tables(dict):
@@ -130,9 +132,31 @@ def parse_documents(texts: DataFrame, layouts: DataFrame | None = None, failures
     return tables | {"positions": tables.cut(lambda: final), "nodes": lambda: repair.clean_titles(tables["nodes"]), "warnings": tables.cut(warnings)}
 
 
+def raw_pdfs(spark: SparkSession, path: str) -> Tables:
+    """Tables of the raw parser for PDF files."""
+    return parse_text(files.read_pdfs(spark, path))
+
+
+def parse_pdfs(spark: SparkSession, path: str) -> tuple[Tables, DataFrame, DataFrame]:
+    """(tables of all stages, layouts, images) of PDF files; where the layout tool fails, a warning says so."""
+    read = files.read_pdf_layouts(spark, path).persist(StorageLevel.MEMORY_AND_DISK)
+    layouts = read.where("error IS NULL").select("doc_id", "layout_xml")
+    shots = read.select("doc_id", F.explode("images").alias("i")).select("doc_id", "i.src", "i.content")
+    texts = files.read_pdfs(spark, path).persist(StorageLevel.MEMORY_AND_DISK)
+    tables = parse_documents(texts, layouts, read.where("error IS NOT NULL").select("doc_id", "error"))
+    tables.owned += [read.unpersist, texts.unpersist]
+    return tables, layouts, shots
+
+
+def placeholder_rows(texts: DataFrame) -> DataFrame:
+    """Positions of placeholder levels alone, of texts (doc_id, source, text)."""
+    return placeholder.recovered(placeholder.placeholder_segments(parse.lines(texts)))
+
+
 def export_documents(tables: Tables, formats: list[str], layouts: DataFrame | None = None, files: DataFrame | None = None, now: Column | None = None, allow_conflicts: bool = False) -> dict[str, DataFrame]:
     """Exports by format: json, xml, x83, x84, x83_priced. With both priced ones, the x83 is made from the x84."""
     assigned = None
+    now = F.lit(datetime.now(timezone.utc)) if now is None else now  # one time for all formats
     if layouts is not None and files is not None:
         placed = images.targets(images.markers(layouts), images.placed_images(layouts, files))
         assigned = images.assign(placed, tables["positions"])
@@ -165,4 +189,4 @@ def register_views(tables: Tables, prefix: str = "boq_") -> list[str]:
     return names
 
 
-__all__ = ["Tables", "export_documents", "leaf_totals", "parse_documents", "parse_text", "recover_placeholders", "register_views", "repair_references"]
+__all__ = ["Tables", "export_documents", "leaf_totals", "parse_documents", "parse_pdfs", "parse_text", "placeholder_rows", "raw_pdfs", "recover_placeholders", "register_views", "repair_references"]
