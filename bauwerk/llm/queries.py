@@ -5,11 +5,11 @@ from __future__ import annotations
 from .bytebpe import op10_byte_bpe
 from .compression import op4_compression_quality
 from .crf import op5_crf_toxicity
-from .jaccard import op2_ngram_jaccard
+from .jaccard import OP2_SQL, op2_ngram_jaccard
 from .lattice import op8_lattice_score
 from .linededup import OP3_SQL, op3_line_dedup
 from .mixing import op1_mixing
-from .neardup import op9_embedding_near_dup
+from .neardup import OP9_SQL, op9_embedding_near_dup
 from .postings import op7_posting_lists
 from .secrets import op6_secret_scan
 
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_byte_bpe": op10_byte_bpe,
 }
 
-ORACLE_SQL = {"op3_line_dedup": OP3_SQL}
+ORACLE_SQL = {"op2_ngram_jaccard": OP2_SQL, "op3_line_dedup": OP3_SQL, "op9_embedding_near_dup": OP9_SQL}
