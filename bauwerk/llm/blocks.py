@@ -4,7 +4,7 @@ A scan cuts each partition into blocks of whole documents. Each distinct word of
 global shuffle by word carries a word at most once a block, however often it occurs: a frequent word is no hot
 key. What is found out about a word goes back to the blocks, where the documents' codes say at which positions it
 stands. Words and codes come from two scans of the same table; a check value tells if these didn't see the same
-rows in the same order, which a table in files always does, also when tasks are run again.
+rows in the same order, which a table in files always does, also when tasks are run again; anything else is written to files first.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import settled
+
 #: A block is closed once its texts have this many characters: what a task holds in memory.
 BLOCK_CHARS = 24_000_000
 #: Rows of documents' codes in one outgoing batch.
@@ -129,8 +131,8 @@ def read_blocks(batches: Iterator[pa.RecordBatch], coder: Callable[[], object])
 
 
 def block_input(docs: DataFrame, mark: Column, text: Column) -> DataFrame:
-    """What both scans read."""
-    return docs.select(F.col("doc_id").alias("key"), mark.alias("mark"), text.alias("text"), F.spark_partition_id().alias("part"))
+    """What both scans read: files, where docs are written first unless they are only picked from files."""
+    return settled(docs.select(F.col("doc_id").alias("key"), mark.alias("mark"), text.alias("text"))).select("*", F.spark_partition_id().alias("part"))
 
 
 WORD_ROWS = T.StructType(

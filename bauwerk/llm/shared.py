@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import os
+import shutil
+import sys
 import tempfile
 import uuid
 
@@ -43,31 +46,49 @@ def partitions_for(docs: DataFrame) -> int:
 def materialise(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends in a table that outlives executors.
 
-    The table is removed when the Python process ends.
+    The table is removed by release(), or when the Python process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if not _tables:
-        atexit.register(_remove)
+        atexit.register(release)
     _tables.append((spark, path))
     tidy(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df itself where it only picks from files, which every scan gives in one order; a written copy otherwise."""
+    node = df._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() in ("Project", "Filter"):
+        node = node.children().apply(0)
+    return df if node.getClass().getSimpleName() == "LogicalRelation" else materialise(df)
+
+
 def tidy(spark: SparkSession) -> None:
     """Let the context cleaner drop shuffle files of plans that nothing refers to any more."""
     spark.sparkContext._jvm.System.gc()
 
 
-def _remove() -> None:
-    for spark, path in _tables:
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
+def written() -> int:
+    """How many tables there are; release(since=written()) later removes those that came after."""
+    return len(_tables)
+
+
+def release(since: int = 0, keep: int = 0) -> None:
+    """Remove written tables, but for the first ``since`` and the last ``keep`` ones. Call it once the results that are made from them
+    are written: a result that isn't can't be read any more."""
+    gone = _tables[since : len(_tables) - keep]
+    del _tables[since : len(_tables) - keep]
+    for spark, path in gone:
+        if spark.sparkContext._jsc is not None:
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # noqa: BLE001  the session may be gone by now
-            return
+        elif os.path.isdir(plain := path.removeprefix("file:")):
+            shutil.rmtree(plain, ignore_errors=True)
+        else:
+            print(f"left behind, as its session is closed: {path}", file=sys.stderr)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,3 +49,67 @@ def test_stages(spark, tmp_path):
     sha = lambda b: hashlib.sha256(b).hexdigest()
     want = [(r.doc_id, sha(" ".join(map(str, vocabulary._encoding.encode_ordinary(r.text))).encode()), sha(r.text.encode())) for r in given]
     assert sorted((r.doc_id, r.ids_sha256, r.decoded_sha256) for r in kept) == sorted(want)
+
+
+CLASHING = ["row", "hash", "nth", "key", "set", "k1", "copies", "lines", "gone", "ids", "bucket", "score"]
+
+
+def odd_tables(spark, folder, rows):
+    """documents with odd rows and columns that have the stages' own names, and labels."""
+    extra = ", ".join(f"doc_id * 3 + {i} AS `{x}`" for i, x in enumerate(CLASHING))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", *extra.split(", "), "map('a', doc_id) AS `first`")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(r[0], 1, 0) for r in rows[:3]], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return spark.read.parquet(f"{folder}/documents.parquet")
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    passage = "one long line of text\nanother one below it\nand a third line\n"
+    rows = [
+        (1, passage + "first own line", "en", "a", 9), (2, passage + "second own line", None, "a", 9), (3, None, "en", None, None), (4, "", "en", "a", 0), (5, " \n\t", "en", "b", 3),
+        (6, "the very same words here", "en", "b", 9), (7, "The very  same words here", "en", None, 9), (6, "the very same words here", "en", "b", 9), (6, "the very same words here", "en", "b", 9),
+        (None, "a text without an id", "en", "a", 9), (8, " ".join(f"w{i}" for i in range(60000)), "en", "c", 9),
+    ]
+    before, stages = odd_tables(spark, tmp_path, rows), dict(corpus_pipeline.STAGES)
+    seen = {}
+    for name in ("quality", "lines", "near_duplicates", "sources"):
+        stages[name](spark, before, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        after = spark.read.parquet(f"{tmp_path}/{name}")
+        assert after.columns == before.columns
+        seen[name] = [(r.doc_id, r.text, r.n_chars) for r in after.collect()]
+        for r in after.where("doc_id IS NOT NULL").collect():
+            assert [r[x] for x in CLASHING] == [r.doc_id * 3 + i for i in range(len(CLASHING))] and r["first"] == {"a": r.doc_id}
+        before = after
+    assert sorted(seen["quality"], key=str) == sorted(((r[0], r[1], r[4]) for r in rows), key=str)
+    assert (2, "second own line", 15) in seen["lines"] and (3, None, None) in seen["lines"] and len(seen["lines"]) == len(rows)
+    assert sorted(i for i, *_ in seen["near_duplicates"] if i) == [1, 2, 3, 4, 5, 6, 8]
+    assert {t for _, t, _ in seen["sources"]} <= {t for _, t, _ in seen["near_duplicates"]}
+    out = stages["tokens"](spark, before, str(tmp_path)).collect()
+    assert len(out) == len(seen["sources"])
+
+
+def test_stages_on_empty_tables(spark, tmp_path):
+    docs = odd_tables(spark, tmp_path, [(1, "x", "en", "a", 1)]).limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        after = stage(spark, docs, str(tmp_path))
+        assert after.count() == 0
+        assert name == "tokens" or after.columns == docs.columns
+
+
+def test_run_removes_the_tables_of_its_stages(spark, tmp_path):
+    from bauwerk.llm import shared
+
+    odd_tables(spark, tmp_path, [(i, f"some words of text number {i}", "en", "a", 1) for i in range(20)])
+    before = shared.written()
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 30
+    assert shared.written() <= before + 2
+    shared.release(since=before)
+    assert shared.written() == before
+
+
+def test_encoding_what_a_shuffle_gives(spark):
+    vocabulary = bytebpe.load_vocabulary()
+    docs = spark.range(400).selectExpr("id AS doc_id", "concat('text ', id % 7) AS text").repartition(5)
+    got = {r.doc_id: r.ids for r in bytebpe.encode(docs, vocabulary).collect()}
+    vocabulary.encode_piece(b"a")
+    assert got == {i: vocabulary._encoding.encode_ordinary(f"text {i % 7}") for i in range(400)}
