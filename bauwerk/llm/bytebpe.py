@@ -91,7 +91,7 @@ class PieceCoder:
 
 
 #: Pre-tokens or ids that are worked on at once, whole texts at least.
-PIECES = 2_000_000
+PIECES = 500_000
 #: A blank between white space; Python's class holds a few characters more than Unicode's, which only costs speed.
 _BETWEEN = re.compile(r"\s \s")
 
