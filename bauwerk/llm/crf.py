@@ -27,8 +27,9 @@ SAMPLE = {0: 4_000, 1: 2_000}
 #: Clean lines a line with toxic tokens that take part in training; steps of the optimiser.
 CLEAN_LINES = 2
 STEPS = 80
-#: Share of toxic documents among those with a feature from which on it marks tokens, and how sure that must be.
-PURITY, DOUBT = 0.9, 0.05
+#: Share of toxic documents among those with a feature from which on it marks tokens, and the share of marking features that
+#: chance may account for.
+PURITY, DOUBT = 0.8, 0.1
 THRESHOLD = 0.5
 #: Words whose emission a task remembers.
 REMEMBERED = 1_000_000
@@ -144,16 +145,18 @@ def marked_features(sample: list[tuple[bytes, int]]) -> set[str]:
             if at == len(seen[0]):
                 seen[0].append(0), seen[1].append(0)
             seen[y][at] += 1
-    bound = math.log(len(index) / DOUBT) if index else 0.0
-    marked = set()
+    found = []
     for feature, clean, toxic in zip(index, *seen):
         n = clean + toxic
         pure = toxic / n
         if pure >= PURITY and pure > share:
             surprise = n * (pure * math.log(pure / share) + ((1 - pure) * math.log((1 - pure) / (1 - share)) if pure < 1 else 0))
-            if surprise >= bound:
-                marked.add(feature)
-    return marked
+            found.append((surprise, feature))
+    # Chance reaches a surprise of s with at most exp(-s) of all features, so the k most surprising ones hold len(index) * exp(-s) by
+    # chance; the largest k for which these are few among k.
+    found.sort(reverse=True)
+    kept = max((k for k, (surprise, _) in enumerate(found, 1) if surprise >= math.log(len(index) / (DOUBT * k))), default=0)
+    return {feature for _, feature in found[:kept]}
 
 
 def token_labels(words: list[bytes], marked: set[str]) -> np.ndarray:
