@@ -150,3 +150,34 @@ def test_blocks_of_lines_and_texts_make_the_same_field(monkeypatch):
     monkeypatch.setattr(crf, "TAGGED", 7)
     parts = crf.fit(sample, {0: 200, 1: 100})
     assert parts.weights == pytest.approx(whole.weights) and parts.moves == pytest.approx(whole.moves) and parts.document == pytest.approx(whole.document)
+
+
+def test_toxicity_scores_against_sums_over_all_tag_sequences():
+    """A document's score from marginals that come from every sequence of tags."""
+    weights = {"bias": -1.0, "wbad": 2.5, "wugly": 1.5, "wgood": -1.0}
+    moves = np.array([[0.0, -0.5], [-0.2, 0.9]])
+    document = np.array([-1.0, 0.8, 1.7])
+    field = crf.Field(weights, moves, document)
+    texts = [b"good bad ugly bad", b"bad", b"", b"ugly ugly good good bad x"]
+    p, lengths = field.tagged(texts)
+    got = field.scores(p, lengths)
+    for text, score in zip(texts, got):
+        words = text.split()
+        emission = [weights["bias"] + weights.get("w" + w.decode(), 0.0) for w in words]
+        total, marked = 0.0, np.zeros(len(words))
+        for tags in itertools.product((0, 1), repeat=len(words)):
+            mass = math.exp(sum(e * t for e, t in zip(emission, tags)) + sum(moves[a, b] for a, b in zip(tags, tags[1:])))
+            total += mass
+            marked += mass * np.array(tags)
+        marked = marked / total if len(words) else marked
+        m = document[0] + document[1] * math.log1p(marked.sum()) + document[2] * math.log1p((marked > 0.5).sum())
+        assert score == pytest.approx(1 / (1 + math.exp(-m)), rel=1e-9)
+
+
+def test_the_sample_takes_null_texts_and_leaves_out_very_long_ones(spark):
+    docs = spark.createDataFrame([(1, None), (2, "x" * 50), (3, "x" * 51), (4, "y")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in (1, 2, 3, 4)], "doc_id long, quality int")
+    sample, counts = labelled.labelled_sample(docs, labels, "quality", {0: 5, 1: 5}, longest=50)
+    known = {i for i in (1, 2, 3, 4) if fold(i) != 0}
+    assert sum(counts.values()) == len(known)
+    assert sorted(t for t, _ in sample) == sorted({1: b"", 2: b"x" * 50, 4: b"y"}[i] for i in known - {3})
