@@ -135,7 +135,7 @@ def mix_copies(
     each = dealt.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows")))).withColumn("rank", F.col("first") + F.col("nth"))
     upto = lambda r: F.floor(r * F.col("each") + F.col("offset"))
     return each.select(
-        "doc_id", "source", "size", "source_size", "target", (upto(F.col("rank")) - upto(F.col("rank") - 1)).cast("long").alias("copies")
+        "doc_id", "source", "size", "source_size", "target", F.least(upto(F.col("rank")) - upto(F.col("rank") - 1), F.lit(int(-(-at_most // 1)))).cast("long").alias("copies")
     )
 
 
