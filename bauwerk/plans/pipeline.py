@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -55,7 +57,8 @@ class Tables(dict):
             spark = df.sparkSession
             path = f"{_shared_dir(spark)}/cut-{uuid.uuid4().hex}"
             df.write.parquet(path)
-            self.owned.append(lambda: _delete(spark, path))
+            _written[path] = spark
+            self.owned.append(lambda: _delete(path))
             return spark.read.schema(df.schema).parquet(path)
 
         return write
@@ -78,9 +81,23 @@ def _shared_dir(spark) -> str:
     return found
 
 
-def _delete(spark, path: str) -> None:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+#: Written tables that nobody released yet, and their sessions.
+_written: dict[str, SparkSession] = {}
+
+
+def _delete(path: str) -> None:
+    spark = _written.pop(path)
+    if spark.sparkContext._jsc is not None:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    else:  # the session is closed: what isn't a local folder stays
+        shutil.rmtree(path.removeprefix("file:"), ignore_errors=True)
+
+
+@atexit.register
+def _delete_all() -> None:
+    for path in list(_written):
+        _delete(path)
 
 
 def parse_text(texts: DataFrame) -> Tables:
