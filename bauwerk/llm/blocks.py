@@ -93,21 +93,25 @@ class WordCoder:
         words = self.split(text)
         return np.fromiter(map(self.index.__getitem__, words), np.int32, len(words))
 
+    def finish(self, parts: list[np.ndarray]) -> tuple[np.ndarray, list[int]]:
+        """What codes() gave for the texts of a block, in a row, and how many codes each text has."""
+        return np.concatenate(parts) if parts else np.zeros(0, np.int32), [len(p) for p in parts]
+
     def words(self) -> list[bytes]:
         return list(self.index)
 
 
 def read_blocks(batches: Iterator[pa.RecordBatch], coder: Callable[[], object]) -> Iterator[Block]:
     """Blocks of the partition. Batches have columns key, mark, text, part; each block has a coder of its own, which
-    gives a text's codes and in the end its words. A null text has no words. A block is named by the scan's partition,
+    gives a text's codes, and in the end all codes and its words. A null text has no words. A block is named by the scan's partition,
     which part tells: under a union, a task's own number is another."""
     base, made = 0, 0
     own = coder()
     none = np.zeros(0, np.int32)
-    parts, sizes, ids, marks, chars = [], [], [], [], 0
+    parts, ids, marks, chars = [], [], [], 0
 
     def close() -> Block:
-        codes = np.concatenate(parts) if parts else none
+        codes, sizes = own.finish(parts)
         parts.clear()
         return Block(base + made, own.words(), codes, sizes, ids, marks)
 
@@ -118,14 +122,13 @@ def read_blocks(batches: Iterator[pa.RecordBatch], coder: Callable[[], object])
         for key, mark, text in zip(keys, flags, batch.column(2)):
             text = text.as_py()
             parts.append(own.codes(text) if text else none)
-            sizes.append(len(parts[-1]))
             ids.append(key)
             marks.append(mark)
             chars += len(text or "")
             if chars >= BLOCK_CHARS:
                 yield close()
                 made += 1
-                own, parts, sizes, ids, marks, chars = coder(), [], [], [], [], 0
+                own, parts, ids, marks, chars = coder(), [], [], [], 0
     if ids:
         yield close()
 

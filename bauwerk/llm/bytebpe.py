@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -30,6 +31,8 @@ class Vocabulary:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, pattern
         self._encoding = self._split = self._bytes = None
+        #: A blank and letters are one pre-token, a mark behind them another.
+        self.words_of_letters = all(x in pattern.split("|") for x in (r" ?\p{L}+", r" ?[^\s\p{L}\p{N}]+"))
 
     def __getstate__(self):
         return self.ranks, self.pattern
@@ -61,39 +64,81 @@ class PieceCoder:
     """Codes of a text's pre-tokens.
 
     A pre-token never reaches over a blank that has a character other than white space on either side, and begins there.
-    So a text without blanks that stand between white space is cut at its blanks, and each distinct chunk is split by the
+    So a text without blanks that stand between white space or behind it at the end is cut at its blanks, and each distinct chunk is split by the
     pattern once; other texts are split whole.
     """
 
     def __init__(self, vocabulary: Vocabulary):
         self.split, self.index = vocabulary.split, blocks.Index()
-        coder = self
+        self.plain = vocabulary.words_of_letters
+        #: Pre-tokens of each chunk, one chunk after the other, and how many each has.
+        self.flat, self.lengths = array("i"), array("i")
+        self.chunks, self.single = _Chunks(self), _Single(self)
 
-        class Chunks(dict):
-            def __missing__(self, chunk):
-                self[chunk] = got = tuple(map(coder.index.__getitem__, coder.split(" " + chunk)))
-                return got
-
-        self.chunks = Chunks()
+    def add(self, pieces: list[str]) -> int:
+        self.flat.extend(map(self.index.__getitem__, pieces))
+        self.lengths.append(len(pieces))
+        return len(self.lengths) - 1
 
     def codes(self, text: str) -> np.ndarray:
-        number = self.index.__getitem__
+        """Numbers of the text's chunks; finish() puts their pre-tokens in their place."""
         if _BETWEEN.search(text):
-            return np.fromiter(map(number, self.split(text)), np.int32)
+            return np.fromiter(map(self.single.__getitem__, self.split(text)), np.int32)
         first, *rest = text.split(" ")
-        codes = list(map(number, self.split(first)))
-        codes.extend(chain.from_iterable(map(self.chunks.__getitem__, rest)))
-        return np.array(codes, np.int32)
+        return np.fromiter(chain(map(self.single.__getitem__, self.split(first)), map(self.chunks.__getitem__, rest)), np.int32)
+
+    def finish(self, parts: list[np.ndarray]) -> tuple[np.ndarray, list[int]]:
+        lengths, flat = np.array(self.lengths, np.int64), np.array(self.flat, np.int32)
+        starts = np.cumsum(lengths) - lengths
+        out, sizes = [np.zeros(0, np.int32)], []
+        for lo, hi in blocks.slices(np.array([len(p) for p in parts], np.int64), PIECES):
+            chunks = np.concatenate(parts[lo:hi])
+            size = lengths[chunks]
+            ends = np.cumsum(size)
+            out.append(flat[np.repeat(starts[chunks] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)])
+            bounds = np.r_[0, ends][np.r_[0, np.cumsum([len(p) for p in parts[lo:hi]])]]
+            sizes += np.diff(bounds).tolist()
+        return np.concatenate(out), sizes
 
     def words(self) -> list[bytes]:
-        self.chunks.clear()
         return [w.encode() for w in self.index]
 
 
+class _Chunks(dict):
+    """Numbers of chunks, which a blank stands before."""
+
+    def __init__(self, coder: PieceCoder):
+        self.coder = coder
+
+    def __missing__(self, chunk: str) -> int:
+        # Letters alone, or before one mark, need no pattern. Latin ones are letters in every edition of Unicode.
+        if self.coder.plain and (chunk.isascii() or max(chunk) < "\u0250"):
+            if chunk.isalpha():
+                self[chunk] = got = self.coder.add([" " + chunk])
+                return got
+            if chunk[-1:] in _MARKS and chunk[:-1].isalpha():
+                self[chunk] = got = self.coder.add([" " + chunk[:-1], chunk[-1]])
+                return got
+        self[chunk] = got = self.coder.add(self.coder.split(" " + chunk))
+        return got
+
+
+class _Single(dict):
+    """Numbers of chunks that are one pre-token."""
+
+    def __init__(self, coder: PieceCoder):
+        self.coder = coder
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = got = self.coder.add([piece])
+        return got
+
+
 #: Pre-tokens or ids that are worked on at once, whole texts at least.
 PIECES = 500_000
-#: A blank between white space; Python's class holds a few characters more than Unicode's, which only costs speed.
-_BETWEEN = re.compile(r"\s \s")
+_MARKS = tuple(",.;:!?")
+#: A blank between white space, or between white space and the end; Python's class holds a few characters more than Unicode's, which only costs speed.
+_BETWEEN = re.compile(r"\s (?:\s|\Z)")
 
 
 def load_vocabulary(path: str | None = None, pattern: str | None = None) -> Vocabulary:

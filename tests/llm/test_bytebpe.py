@@ -45,3 +45,28 @@ def test_empty_table_and_small_blocks(spark, vocabulary, library, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.ids for r in bytebpe.encode(docs, vocabulary).collect()}
     assert got == {i: library.encode_ordinary(t) for i, t in rows}
+
+
+def test_coder_gives_the_pattern_s_pieces(vocabulary):
+    import random
+
+    rnd = random.Random(3)
+    letters = [chr(c) for c in range(0x21, 0x260)] + ["ß", "Ω", "東", "'s", "'re", "12", "́", " ", " "]
+    coder, texts = bytebpe.PieceCoder(vocabulary), [""]
+    for c in range(0x21, 0x300):
+        texts += [f"a {chr(c)} b{chr(c)} {chr(c)}. {chr(c)}{chr(c)}, x{chr(c)}y!"]
+    for _ in range(1500):
+        texts.append("".join(rnd.choice([" ", " ", "\n", "  ", "a", "be", "!", ",", rnd.choice(letters)]) for _ in range(rnd.randint(0, 40))))
+    codes, sizes = coder.finish([coder.codes(t) for t in texts])
+    words, at = coder.words(), 0
+    for text, size in zip(texts, sizes):
+        assert [words[c].decode() for c in codes[at : at + size]] == vocabulary.split(text), repr(text)
+        at += size
+
+
+def test_another_pattern_has_no_path_for_words():
+    ranks = {bytes([b]): b for b in range(256)}
+    vocabulary = bytebpe.Vocabulary(ranks, r"\p{L}| |[^\p{L} ]+")
+    coder = bytebpe.PieceCoder(vocabulary)
+    codes, _ = coder.finish([coder.codes("ab cd!")])
+    assert [coder.words()[c] for c in codes] == [b"a", b"b", b" ", b"c", b"d", b"!"]
