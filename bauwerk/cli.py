@@ -7,7 +7,6 @@ import sys
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from bauwerk.operators.images import unreadable_images
 from bauwerk.plans import pipeline

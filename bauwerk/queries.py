@@ -10,7 +10,6 @@ from bauwerk.functions import numbers as N
 from bauwerk.functions import text as X
 from bauwerk.operators import images, parse, placeholder, repair, subtotals, validate
 from bauwerk.plans import pipeline
-from bauwerk.sinks import export
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
