@@ -88,6 +88,7 @@ class PieceCoder:
         return np.fromiter(chain(map(self.single.__getitem__, self.split(first)), map(self.chunks.__getitem__, rest)), np.int32)
 
     def finish(self, parts: list[np.ndarray]) -> tuple[np.ndarray, list[int]]:
+        self.chunks.clear(), self.single.clear()
         lengths, flat = np.array(self.lengths, np.int64), np.array(self.flat, np.int32)
         starts = np.cumsum(lengths) - lengths
         out, sizes = [np.zeros(0, np.int32)], []

@@ -36,7 +36,8 @@ SHINGLE = 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 75
 ORDERS = 3
-BLOCK_CHARS = 24_000_000
+#: Characters of a block and words whose hashes a task remembers: with a bucket, what bounds its memory.
+BLOCK_CHARS, REMEMBERED = 8_000_000, 300_000
 #: Pivot rounds at most before what is left is compared outright, and how many of these comparisons a row may be worth
 #: before another round is taken instead. Neither changes the result.
 ROUNDS = 4
@@ -135,19 +136,22 @@ def _scan(docs: DataFrame, buckets: int, size: int, seed: int) -> DataFrame:
         held, names, seen, chars = [], [], {}, 0
 
         def flush():
-            tokens = np.concatenate(held) & np.uint64((1 << 8 * TOKEN) - 1)
-            sets = np.repeat(np.array(names, np.int64), [len(x) for x in held])
+            number = np.repeat(np.arange(len(held), dtype=np.int32), [len(x) for x in held])
+            tokens = np.concatenate(held)
+            held.clear()
+            tokens &= np.uint64((1 << 8 * TOKEN) - 1)
             order = np.argsort(tokens)
-            tokens, sets = tokens[order], sets[order]
-            bucket = (_scramble(tokens) % np.uint64(buckets)).astype(np.int64)
-            return [(int(bucket[part[0]]), TOKENS, None, len(part), None, *_incidence(tokens[part], sets[part]), None, None) for part in _by(bucket)]
+            tokens, number = tokens[order], number[order]
+            bucket = (_scramble(tokens) % np.uint64(buckets)).astype(np.int32)
+            sets = np.array(names, np.int64)
+            return [(int(bucket[part[0]]), TOKENS, None, len(part), None, *_incidence(tokens[part], sets[number[part]]), None, None) for part in _by(bucket)]
 
         for batch in batches:
             rows = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py() or b""
                 words = text.lower().split()
-                if len(cache) > 2_000_000:
+                if len(cache) > REMEMBERED:
                     cache.clear()
                 known = cache.get
                 hashes = np.fromiter([known(w) or cache.setdefault(w, digest(w)) for w in words], np.uint64, len(words))
@@ -167,7 +171,7 @@ def _scan(docs: DataFrame, buckets: int, size: int, seed: int) -> DataFrame:
                     seen[name] = check
                     if chars >= BLOCK_CHARS:
                         yield from _batches(flush(), key_type, schema.names)
-                        held.clear(), names.clear(), seen.clear()
+                        names.clear(), seen.clear()
                         chars = 0
             yield from _batches(rows, key_type, schema.names)
         if held:
