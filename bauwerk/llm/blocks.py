@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from .shared import settled
 
 #: A block is closed once its texts have this many characters: what a task holds in memory.
-BLOCK_CHARS = 24_000_000
+BLOCK_CHARS = 16_000_000
 #: Rows of documents' codes in one outgoing batch.
 OUT_ROWS = 2_000
 
