@@ -5,16 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bauwerk.functions import arrays as A
 from bauwerk.functions import patterns as P
 from bauwerk.functions import text as X
 from bauwerk.schema import message
 
 from .repair import refresh_warnings
 
-_PAGE = r"(?s)<page\b([^>]*)>(.*?)</page>"
-_TEXT = r"(?s)<text\b([^>]*)>(.*?)</text>"
-_LINE = "array<struct<top int, bold boolean, text string>>"
-
 
 def bold_fonts(layouts: DataFrame) -> DataFrame:
     """(doc_id, font) of the fonts whose family sounds bold."""
@@ -24,17 +21,28 @@ def bold_fonts(layouts: DataFrame) -> DataFrame:
     return found.where(F.col("font").isNotNull() & X.contains_any(F.col("family"), P.BOLD_FAMILIES)).select("doc_id", "font").distinct()
 
 
+def _elements(body: Column, tag: str) -> Column:
+    """array<struct<a, b>>: attributes and content of the elements, found by one match each."""
+    found = F.regexp_extract_all(body, F.lit(rf"(?s)<{tag}\b[^>]*>.*?</{tag}>"), F.lit(0))
+    opened, closed = len(f"<{tag}"), len(f"</{tag}>")
+
+    def parts(x: Column) -> Column:
+        return A.let(F.instr(x, ">"), lambda end: F.struct(
+            F.substr(x, F.lit(opened + 1), end - opened - 1).alias("a"), F.substr(x, end + 1, F.length(x) - end - closed).alias("b")
+        ))
+
+    return F.transform(found, parts)
+
+
 def layout_pages(layouts: DataFrame) -> DataFrame:
     """(doc_id, at, page, body); pages whose number isn't one are left out."""
-    pairs = F.arrays_zip(F.regexp_extract_all("layout_xml", F.lit(_PAGE), F.lit(1)).alias("a"), F.regexp_extract_all("layout_xml", F.lit(_PAGE), F.lit(2)).alias("b"))
-    rows = layouts.select("doc_id", F.posexplode(pairs).alias("at", "p")).select("doc_id", "at", X.number_attribute(F.col("p.a"), "number", None).alias("page"), F.col("p.b").alias("body"))
+    rows = layouts.select("doc_id", F.posexplode(_elements(F.col("layout_xml"), "page")).alias("at", "p")).select("doc_id", "at", X.number_attribute(F.col("p.a"), "number", None).alias("page"), F.col("p.b").alias("body"))
     return rows.where("page >= 0")
 
 
 def fragments(pages: DataFrame) -> DataFrame:
     """(doc_id, at, page, seq, top, left, font, text), text as it stands there."""
-    pairs = F.arrays_zip(F.regexp_extract_all("body", F.lit(_TEXT), F.lit(1)).alias("a"), F.regexp_extract_all("body", F.lit(_TEXT), F.lit(2)).alias("b"))
-    rows = pages.select("doc_id", "at", "page", F.posexplode(pairs).alias("seq", "t"))
+    rows = pages.select("doc_id", "at", "page", F.posexplode(_elements(F.col("body"), "text")).alias("seq", "t"))
     a = F.col("t.a")
     return rows.select(
         "doc_id", "at", "page", "seq", X.number_attribute(a, "top").alias("top"), X.number_attribute(a, "left").alias("left"),
@@ -42,28 +50,21 @@ def fragments(pages: DataFrame) -> DataFrame:
     )
 
 
-def group_lines(items: Column) -> Column:
-    """Fragments (top, left, seq, bold, text), sorted, as lines (top, bold, text): a fragment joins the line before
-    while it lies within two units of that line's first fragment."""
-
-    def step(lines: Column, f: Column) -> Column:
-        last = F.try_element_at(lines, F.lit(-1))
-        joined = F.struct(last["top"].alias("top"), (last["bold"] | f["bold"]).alias("bold"), F.concat(last["text"], F.lit(" "), f["text"]).alias("text"))
-        new = F.struct(f["top"].alias("top"), f["bold"].alias("bold"), f["text"].alias("text"))
-        near = (F.size(lines) > 0) & (F.abs(last["top"] - f["top"]) <= 2)
-        head = F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0)))
-        return F.when(F.coalesce(near, F.lit(False)), F.concat(head, F.array(joined))).otherwise(F.concat(lines, F.array(new)))
-
-    return F.aggregate(items, F.expr(f"cast(array() as {_LINE})"), step)
+def group_lines(grouped: DataFrame) -> DataFrame:
+    """grouped with items, fragments (top, left, seq, bold, text) in this order, as lines (top, bold, text): a fragment joins the line before
+    while it lies within two units of that line's first fragment. One pass finds the first fragments, another joins each line's."""
+    anchor = lambda top, f, opened: F.when(opened, f["top"]).otherwise(top)
+    opens = A.openings(F.col("items"), F.lit(None).cast("int"), lambda top, f: F.abs(top - f["top"]) > 2, anchor)
+    line = lambda f, rest: F.struct(f["top"].alias("top"), (f["bold"] | F.exists(rest, lambda r: r["bold"])).alias("bold"), F.array_join(F.concat(F.array(f["text"]), F.transform(rest, lambda r: r["text"])), " ").alias("text"))
+    return A.once(grouped, opens=opens).withColumn("lines", A.runs(F.col("items"), F.col("opens"), line)).drop("items", "opens")
 
 
 def layout_lines(layouts: DataFrame) -> DataFrame:
     """(doc_id, at, page, lines) of each page."""
-    cleaned = fragments(layout_pages(layouts)).withColumn("text", X.normalize(F.col("text"))).where("text <> ''")
+    cleaned = A.once(fragments(layout_pages(layouts)).withColumnRenamed("text", "_raw"), text=X.normalize(F.col("_raw"))).where("text <> ''")
     marked = cleaned.join(bold_fonts(layouts).withColumn("_bold", F.lit(True)), ["doc_id", "font"], "left")
     item = F.struct("top", "left", "seq", F.coalesce("_bold", F.lit(False)).alias("bold"), "text")
-    grouped = marked.groupBy("doc_id", "at", "page").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    return grouped.select("doc_id", "at", "page", group_lines(F.col("items")).alias("lines"))
+    return group_lines(marked.groupBy("doc_id", "at", "page").agg(F.array_sort(F.collect_list(item)).alias("items")))
 
 
 def _scan(first: Column, following: Column) -> Column:

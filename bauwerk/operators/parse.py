@@ -1,14 +1,17 @@
 """Layout text to headings, hierarchy, positions and first warnings.
 
-Everything hangs on one exchange: lines by document. Segmentation, aggregation of segments and the look at the next
-segment all keep that partitioning.
+Pages are dealt out once; a page's lines are cut in place, for all parsers together. Then only counts of pages meet by document,
+and pieces that run over a page's end by segment.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bauwerk.functions import arrays as A
 from bauwerk.functions import numbers as N
 from bauwerk.functions import patterns as P
 from bauwerk.functions import text as X
@@ -16,104 +19,146 @@ from bauwerk.schema import message
 
 _ORDER = ["page", "line_no"]
 
+#: Parsers that share one reading of the pages.
+MAIN, PLACEHOLDER = 0, 1
+
+
+def pages(texts: DataFrame) -> DataFrame:
+    """(doc_id, page, raw, lines) of texts(doc_id, text): each page's lines as they stand there, and normalised.
+
+    Pages are dealt out to as many tasks as the session has shuffle partitions, however few bytes they have, as the work on a
+    line is much for its size; a very long document is spread like any other.
+    """
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    paged = texts.select("doc_id", F.posexplode(X.pages(F.coalesce("text", F.lit("")))).alias("page", "body"))
+    rows = paged.select("doc_id", (F.col("page") + 1).alias("page"), X.text_lines(F.col("body")).alias("raw")).repartition(tasks, "doc_id", "page")
+    return rows.withColumn("lines", F.transform("raw", X.normalize))
+
+
+def lines_of(read: DataFrame) -> DataFrame:
+    """(doc_id, page, line_no, raw, line) of pages()."""
+    rows = read.select("doc_id", "page", F.posexplode(F.arrays_zip("raw", "lines")).alias("line_no", "x"))
+    return rows.select("doc_id", "page", "line_no", "x.raw", F.col("x.lines").alias("line"))
+
 
 def lines(texts: DataFrame) -> DataFrame:
     """(doc_id, page, line_no, raw, line) of texts(doc_id, text)."""
-    paged = texts.select("doc_id", F.posexplode(X.pages(F.coalesce("text", F.lit("")))).alias("page", "body"))
-    rows = paged.select("doc_id", (F.col("page") + 1).alias("page"), F.posexplode(X.text_lines(F.col("body"))).alias("line_no", "raw"))
-    return rows.withColumn("line", X.normalize(F.col("raw")))
+    return lines_of(pages(texts))
 
 
-def classify(rows: DataFrame) -> DataFrame:
-    """Adds kind: noise, position, heading, sum or text; the first that fits."""
-    line = F.col("line")
-    kind = (
+def kind(line: Column) -> Column:
+    """noise, position, heading, sum or text; the first that fits."""
+    return (
         F.when(X.is_noise(line), "noise")
         .when(line.rlike(P.POSITION), "position")
         .when(line.rlike(P.HEADING), "heading")
         .when(line.rlike(P.SUM), "sum")
         .otherwise("text")
     )
-    return rows.withColumn("kind", kind)
 
 
-def segment(rows: DataFrame, boundary: Column) -> DataFrame:
-    """Adds seg, the number of boundary lines up to and with this one; 0 before the first."""
-    by_line = Window.partitionBy("doc_id").orderBy(*_ORDER)
-    return rows.withColumn("seg", F.sum(boundary.cast("int")).over(by_line))
+def classify(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("kind", kind(F.col("line")))
+
+
+def cut_pages(read: DataFrame, kinds: dict[int, Callable[[Column], Column]]) -> DataFrame:
+    """(doc_id, page, parser, n_heads, content, pieces) of pages(), a row for each parser in kinds: its lines but noise, cut before each head, which is a line
+    that is neither noise nor text. The first piece has no head: what is left of the page before.
+    content tells if the page counts as one with text for the parser. pieces: array<struct<head, body>>.
+    """
+    item = lambda kind: lambda x, i: F.struct(i.alias("line_no"), kind(x).alias("kind"), x.alias("line"))
+    each = F.array(*[F.struct(F.lit(p).alias("parser"), F.transform("lines", item(k)).alias("items")) for p, k in kinds.items()])
+    # The main parser takes pages with visible text for the document's last one, the other any page with a line.
+    content = F.when(F.col("parser") == MAIN, F.exists("raw", lambda r: r.rlike(r"(?U)\S"))).otherwise(F.size("raw") > 0)
+    rows = read.select("doc_id", "page", "raw", F.inline(each)).select("doc_id", "page", "parser", content.alias("content"), F.filter("items", lambda x: x["kind"] != "noise").alias("items"))
+    rows = A.once(rows, heads=F.filter(F.transform("items", lambda x, i: F.when(x["kind"] != "text", i + 1)), lambda i: i.isNotNull()))
+    rows = A.once(rows, edges=F.concat(F.array(F.lit(0)), "heads"))
+    page = F.col("page")
+    head = lambda c: F.when(c > 0, F.element_at("items", F.greatest(c, F.lit(1))))
+    body = lambda c, k: F.slice("items", c + 1, F.coalesce(F.get("edges", k + 1), F.size("items") + 1) - c - 1)
+    piece = lambda c, k: F.struct(
+        A.let(head(c), lambda h: F.when(h.isNotNull(), F.struct(page.alias("page"), h["line_no"].alias("line_no"), h["kind"].alias("kind"), h["line"].alias("line")))).alias("head"),
+        F.transform(body(c, k), lambda b: F.struct(page.alias("page"), b["line_no"].alias("line_no"), b["line"].alias("line"))).alias("body"),
+    )
+    return rows.select("doc_id", "page", "parser", F.size("heads").alias("n_heads"), "content", F.transform("edges", piece).alias("pieces"))
+
+
+def segments(cut: DataFrame) -> DataFrame:
+    """(doc_id, parser, seg, head, body, page_end): head lines with the text lines up to the next one, in order; seg counts heads, and 0, which has no
+    head, is the text before the first. page_end is the page of the next head, or else the last with content. cut: cut_pages().
+
+    Numbers are a prefix sum in two levels: heads of the pages before, and the place in the page. Only page counts meet by document;
+    pieces that end on their page are segments, the others meet by segment.
+    """
+    forward = Window.partitionBy("doc_id", "parser").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    backward = Window.partitionBy("doc_id", "parser").orderBy(F.col("page").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    last = F.max(F.when(F.col("content"), F.col("page"))).over(Window.partitionBy("doc_id", "parser"))
+    counts = cut.select(
+        "doc_id", "page", "parser", F.coalesce(F.sum("n_heads").over(forward), F.lit(0)).cast("int").alias("before"),
+        F.coalesce(F.last(F.when(F.col("n_heads") > 0, F.col("page")), True).over(backward), last, F.lit(1)).alias("after"),
+    )
+    rows = cut.drop("content").join(counts, ["doc_id", "page", "parser"]).select("doc_id", "page", "parser", "n_heads", "before", "after", F.posexplode("pieces").alias("k", "p"))
+    ends = F.col("k") < F.col("n_heads")
+    rows = rows.select(
+        "doc_id", "parser", (F.col("before") + F.col("k")).alias("seg"), "p.head", "p.body", F.when(ends, F.col("page")).otherwise(F.col("after")).alias("page_end"),
+        "page", (ends & (F.col("k") > 0)).alias("whole"),
+    ).where("head IS NOT NULL OR size(body) > 0")
+    met = rows.where("NOT whole").groupBy("doc_id", "parser", "seg").agg(F.min("head").alias("head"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("page", "body"))), lambda x: x["body"])).alias("body"), F.max("page_end").alias("page_end"))
+    return rows.where("whole").drop("page", "whole").unionByName(met)
 
 
-def segments(rows: DataFrame, boundary: Column, close_page: Column) -> DataFrame:
-    """One row a segment: its head line and its text lines in order, and page_end, the page of the line that ends it."""
-    cut = segment(rows, boundary).withColumn("_head", boundary)
-    row = F.struct(*_ORDER, "line")
-    grouped = cut.groupBy("doc_id", "seg").agg(
-        F.min(F.when(F.col("_head"), F.struct(*_ORDER, "kind", "line"))).alias("head"),
-        F.array_sort(F.collect_list(F.when(~F.col("_head"), row))).alias("body"),
-        F.max("last_page").alias("last_page"),
-    )
-    after = Window.partitionBy("doc_id").orderBy("seg")
-    return grouped.withColumn("page_end", F.coalesce(F.lead("head.page").over(after), close_page))
-
-
-def price_fields(source: Column) -> Column:
-    """Struct of a price text; all null where it is none."""
-    hit = source.rlike(P.PRICED)
-    group = lambda k: F.when(hit, F.regexp_extract(source, P.PRICED, k))
-    return F.struct(
-        N.german_decimal(group(1), 3).alias("quantity"),
-        group(2).alias("unit"),
-        N.german_decimal(group(3)).alias("unit_price"),
-        N.german_decimal(F.nullif(group(4), F.lit(""))).alias("total_price"),
-        (hit & source.contains(P.PRICE_ONLY)).alias("flag"),
-        hit.alias("hit"),
-    )
+def price_parts(source: Column) -> Column:
+    """Struct (parts: quantity, unit, unit price and total or ''; only) of a price text by one match; null where it is none."""
+    marked = F.split(F.regexp_replace(source, P.PRICED, "$1\u0000\u0001$2\u0000\u0001$3\u0000\u0001$4"), "\u0000\u0001", -1)
+    return A.let(marked, lambda m: F.when(F.size(m) == 4, F.struct(m.alias("parts"), source.contains(P.PRICE_ONLY).alias("only"))))
 
 
 def finish(heads: DataFrame) -> DataFrame:
-    """Positions of heads(doc_id, seg, oz, rest, body, page, page_end): price, flags and texts."""
+    """Positions of heads(doc_id, parser, seg, oz, rest, body, page, page_end): price, flags and texts. Each step is worked out once."""
     rest = F.coalesce("rest", F.lit(""))
     plain = F.filter(F.transform("body", lambda r: r["line"]), lambda x: ~x.isin([*P.CONTINUATIONS, P.OPTIONAL]))
-    step = heads.withColumn("_first", price_fields(rest)).withColumn("_optional", F.exists("body", lambda r: r["line"] == P.OPTIONAL))
-    step = step.withColumn("_all", F.when(F.col("_first.hit") | (rest == ""), plain).otherwise(F.concat(F.array(rest), plain)))
-    tries = [
-        F.when(F.size("_all") >= n, F.array_join(F.slice("_all", 1, n), " ")) for n in range(P.PRICE_FRAGMENTS, 0, -1)
-    ]
-    used = F.coalesce(*[F.when(t.rlike(P.PRICED), F.lit(n)) for n, t in zip(range(P.PRICE_FRAGMENTS, 0, -1), tries)], F.lit(0))
-    step = step.withColumn("_used", F.when(F.col("_first.quantity").isNull(), used).otherwise(0))
-    spread = price_fields(F.array_join(F.slice("_all", 1, F.col("_used")), " "))
-    step = step.withColumn("_price", F.when(F.col("_used") > 0, spread).otherwise(F.col("_first")))
-    step = step.withColumn("_left", F.filter(F.slice("_all", F.col("_used") + 1, F.greatest(F.size("_all"), F.lit(1))), lambda x: x != ""))
-    flag = F.col("_optional") | F.col("_price.flag") | F.col("_first.flag")
-    return step.select(
-        "doc_id", F.col("seg").cast("int").alias("seq"), "oz", X.oz_prefix(F.col("oz"), 3).alias("leaf_oz"), X.oz_key(F.col("oz")).alias("oz_key"),
-        "_price.quantity", "_price.unit", "_price.unit_price", "_price.total_price",
-        F.coalesce(F.try_element_at("_left", F.lit(1)), F.lit("")).alias("short_text"),
-        F.array_join(F.slice("_left", 2, F.greatest(F.size("_left"), F.lit(1))), "\n").alias("long_text"),
-        F.col("page").alias("page_from"), F.greatest("page", "page_end").alias("page_to"),
-        flag.alias("provisional"), flag.alias("price_only"),
+    step = A.once(heads, _first=price_parts(rest), _optional=F.exists("body", lambda r: r["line"] == P.OPTIONAL), _plain=plain)
+    step = A.once(step, _all=F.when(F.col("_first").isNotNull() | (rest == ""), F.col("_plain")).otherwise(F.concat(F.array(rest), "_plain")))
+    # A price may be spread over lines; the most that make one count.
+    sizes = F.array(*[F.lit(n) for n in range(P.PRICE_FRAGMENTS, 0, -1)])
+    tries = F.transform(sizes, lambda n: F.struct(n.alias("n"), F.when(F.size("_all") >= n, price_parts(F.array_join(F.slice("_all", 1, n), " "))).alias("price")))
+    none = N.german_decimal(F.get("_first.parts", F.lit(0)), 3).isNull()
+    step = A.once(step, _spread=F.get(F.filter(F.when(none, tries), lambda t: t["price"].isNotNull()), F.lit(0)))
+    used = F.coalesce("_spread.n", F.lit(0))
+    left = F.filter(F.slice("_all", used + 1, F.greatest(F.size("_all"), F.lit(1))), lambda x: x != "")
+    step = A.once(step, _price=F.coalesce("_spread.price", "_first"), _left=left)
+    part = lambda k: F.get("_price.parts", F.lit(k))
+    flag = F.col("_optional") | F.coalesce("_price.only", F.lit(False)) | F.coalesce("_first.only", F.lit(False))
+    return A.once(
+        step, quantity=N.german_decimal(part(0), 3), unit=part(1), unit_price=N.german_decimal(part(2)), total_price=N.german_decimal(F.nullif(part(3), F.lit(""))),
+        short_text=F.coalesce(F.try_element_at("_left", F.lit(1)), F.lit("")), long_text=F.array_join(F.slice("_left", 2, F.greatest(F.size("_left"), F.lit(1))), "\n"), flag=flag,
+    ).select(
+        "doc_id", "parser", F.col("seg").cast("int").alias("seq"), "oz", X.oz_prefix(F.col("oz"), 3).alias("leaf_oz"), X.oz_key(F.col("oz")).alias("oz_key"),
+        "quantity", "unit", "unit_price", "total_price", "short_text", "long_text", F.col("page").alias("page_from"), F.greatest("page", "page_end").alias("page_to"),
+        F.col("flag").alias("provisional"), F.col("flag").alias("price_only"),
     )
 
 
-def main_segments(rows: DataFrame) -> DataFrame:
-    """Segments of the main parser. rows: lines()."""
-    content = F.max(F.when(F.col("raw").rlike(r"(?U)\S"), F.col("page"))).over(Window.partitionBy("doc_id"))
-    kept = classify(rows.withColumn("last_page", F.coalesce(content, F.lit(1)))).where("kind <> 'noise'")
-    return segments(kept, F.col("kind").isin("position", "heading", "sum"), F.col("last_page"))
-
-
-def positions(cut: DataFrame) -> DataFrame:
-    """Positions in order of appearance. cut: main_segments()."""
-    heads = cut.where("head.kind = 'position'").select(
-        "doc_id", "seg", "body", "page_end", F.col("head.page").alias("page"),
-        F.regexp_extract("head.line", P.POSITION, 1).alias("oz"), F.regexp_extract("head.line", P.POSITION, 2).alias("rest"),
+def read_positions(cut: DataFrame) -> DataFrame:
+    """Positions of all parsers, with parser. cut: segments()."""
+    group = lambda pattern, k: F.regexp_extract("head.line", pattern, k)
+    filled = F.concat_ws(".", group(P.PLACEHOLDER, 1), group(P.PLACEHOLDER, 2), F.lit("00"), group(P.PLACEHOLDER, 3))
+    main = F.col("parser") == MAIN
+    heads = cut.where("head.kind IN ('position', 'open')").select(
+        "doc_id", "parser", "seg", "body", "page_end", F.col("head.page").alias("page"),
+        F.when(main, group(P.POSITION, 1)).otherwise(filled).alias("oz"), F.when(main, group(P.POSITION, 2)).otherwise(group(P.PLACEHOLDER, 4)).alias("rest"),
     )
     return finish(heads)
 
 
+def positions(found: DataFrame) -> DataFrame:
+    """Positions of the main parser in order of appearance. found: read_positions()."""
+    return found.where(F.col("parser") == MAIN).drop("parser")
+
+
 def headings(cut: DataFrame) -> DataFrame:
     """(doc_id, oz, title, page): the last heading of each OZ wins."""
-    heads = cut.where("head.kind = 'heading'").select(
+    heads = cut.where((F.col("parser") == MAIN) & (F.col("head.kind") == "heading")).select(
         "doc_id", F.regexp_extract("head.line", P.HEADING, 1).alias("oz"),
         F.struct(F.col("head.page"), F.col("head.line_no")).alias("at"), X.strip(F.regexp_extract("head.line", P.HEADING, 2)).alias("title"),
     )
@@ -123,7 +168,7 @@ def headings(cut: DataFrame) -> DataFrame:
 
 def preambles(cut: DataFrame) -> DataFrame:
     """(doc_id, preamble): text outside positions on the first pages."""
-    loose = cut.where("head IS NULL OR head.kind <> 'position'").select("doc_id", F.explode("body").alias("b"))
+    loose = cut.where((F.col("parser") == MAIN) & F.expr("head IS NULL OR head.kind <> 'position'")).select("doc_id", F.explode("body").alias("b"))
     early = loose.where(F.col("b.page") < P.PREAMBLE_PAGES).groupBy("doc_id").agg(F.array_sort(F.collect_list("b")).alias("all"))
     return early.select("doc_id", X.strip(F.array_join(F.transform("all", lambda r: r["line"]), "\n")).alias("preamble"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bauwerk.functions import patterns as P
@@ -11,30 +11,24 @@ from bauwerk.functions import text as X
 from . import parse
 
 
-def placeholder_segments(rows: DataFrame) -> DataFrame:
-    """Segments that open at placeholder lines and end at these, at sums and at other numbered lines. rows: lines()."""
-    line = F.col("line")
-    kind = F.when(line.rlike(P.PLACEHOLDER), "open").when(line.rlike(P.PLACEHOLDER_SUM) | line.rlike(P.PLACEHOLDER_END), "close").otherwise("text")
-    last = F.max("page").over(Window.partitionBy("doc_id"))
-    kept = rows.withColumn("last_page", last).where(~X.is_placeholder_noise(line)).withColumn("kind", kind)
-    return parse.segments(kept, F.col("kind") != "text", F.col("last_page"))
+def kind(line: Column) -> Column:
+    """noise, open, close or text: placeholder lines open a segment, and it ends at these, at sums and at other numbered lines."""
+    return (
+        F.when(X.is_placeholder_noise(line), "noise").when(line.rlike(P.PLACEHOLDER), "open")
+        .when(line.rlike(P.PLACEHOLDER_SUM) | line.rlike(P.PLACEHOLDER_END), "close").otherwise("text")
+    )
 
 
-def recovered(cut: DataFrame) -> DataFrame:
-    """Placeholder positions as AA.BB.00.DDD, those with a quantity, a unit price or a text."""
-    group = lambda k: F.regexp_extract("head.line", P.PLACEHOLDER, k)
-    heads = cut.where("head.kind = 'open'").select(
-        "doc_id", "seg", "body", "page_end", F.col("head.page").alias("page"),
-        F.concat_ws(".", group(1), group(2), F.lit("00"), group(3)).alias("oz"), group(4).alias("rest"),
-    )
+def recovered(found: DataFrame) -> DataFrame:
+    """Placeholder positions as AA.BB.00.DDD, those with a quantity, a unit price or a text. found: parse.read_positions()."""
     filled = F.col("quantity").isNotNull() | F.col("unit_price").isNotNull() | ~X.is_blank(F.col("short_text")) | ~X.is_blank(F.col("long_text"))
-    return parse.finish(heads).where(filled)
+    return found.where((F.col("parser") == parse.PLACEHOLDER) & filled).drop("parser")
 
 
 def placeholder_headings(cut: DataFrame) -> DataFrame:
     """Headings of the second level that stand outside of placeholder positions or end in .06; the last one wins."""
     line = F.col("b.line")
-    loose = cut.select("doc_id", F.coalesce(F.col("head.kind") == "open", F.lit(False)).alias("open"), F.explode("body").alias("b")).where(line.rlike(P.PLACEHOLDER_HEADING))
+    loose = cut.where(F.col("parser") == parse.PLACEHOLDER).select("doc_id", F.coalesce(F.col("head.kind") == "open", F.lit(False)).alias("open"), F.explode("body").alias("b")).where(line.rlike(P.PLACEHOLDER_HEADING))
     oz = F.regexp_extract(line, P.PLACEHOLDER_HEADING, 1)
     kept = loose.where(oz.endswith(".06") | ~F.col("open")).select("doc_id", oz.alias("oz"), "b", X.strip(F.regexp_extract(line, P.PLACEHOLDER_HEADING, 2)).alias("title"))
     last = kept.groupBy("doc_id", "oz").agg(F.max_by(F.struct("title", F.col("b.page").alias("page")), "b").alias("h"))

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
+from functools import cache
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,7 +21,7 @@ from bauwerk.sources import files
 
 class Tables(dict):
     """Tables by name. What was kept or written on the way to them stays until release(), so call it once all results are
-    written. A table that ends a lineage is made when it is first asked for."""
+    written. A table given as a function is made when it is first asked for."""
 
     def __init__(self, tables: dict, owned: list | None = None):
         super().__init__(tables)
@@ -61,7 +62,7 @@ class Tables(dict):
             self.owned.append(lambda: _delete(path))
             return spark.read.schema(df.schema).parquet(path)
 
-        return write
+        return cache(write)
 
     def release(self) -> None:
         """Forget kept tables and remove written ones. The tables can't be read any more."""
@@ -100,53 +101,70 @@ def _delete_all() -> None:
         _delete(path)
 
 
-def parse_text(texts: DataFrame) -> Tables:
-    """Tables of the raw parser, in order of appearance and uncleaned. texts: (doc_id, source, text)."""
+def parse_text(texts: DataFrame, placeholders: bool = False) -> Tables:
+    """Tables of the raw parser, in order of appearance and uncleaned. texts: (doc_id, source, text). placeholders: read positions of
+    placeholder levels on the way, for recover_placeholders(). Each table's plan is made when the table is asked for."""
     out = Tables({})
-    rows = out.kept(parse.lines(texts))
-    cut = out.kept(parse.main_segments(rows))
-    found = out.kept(parse.positions(cut))
+    read = cache(lambda: out.kept(parse.pages(texts)))
+    kinds = {parse.MAIN: parse.kind} | ({parse.PLACEHOLDER: placeholder.kind} if placeholders else {})
+    cut = cache(lambda: parse.segments(out.kept(parse.cut_pages(read(), kinds))))
+    found = cache(lambda: out.kept(parse.read_positions(cut())))
+    main = cache(lambda: parse.positions(found()))
+    rows = cache(lambda: parse.lines_of(read()))
+    headings = cache(lambda: parse.headings(cut()))
     return out | {
-        "documents": parse.documents(texts, rows, cut),
-        "headings": parse.headings(cut),
-        "nodes": parse.hierarchy(found, parse.headings(cut)),
-        "positions": found,
-        "warnings": parse.first_warnings(found),
+        "documents": cache(lambda: parse.documents(texts, rows(), cut())),
+        "headings": headings,
+        "nodes": cache(lambda: parse.hierarchy(main(), headings())),
+        "positions": main,
+        "warnings": cache(lambda: parse.first_warnings(main())),
         "lines": rows,
+        "segments": cut,
+        "found": found,
     }
 
 
 def recover_placeholders(tables: Tables) -> Tables:
-    """Adds positions of placeholder levels and sorts all by numeric OZ."""
-    cut = tables.kept(placeholder.placeholder_segments(tables["lines"]))
-    merged = tables.kept(placeholder.merge_positions(tables["positions"], placeholder.recovered(cut)))
-    count = tables["positions"].groupBy("doc_id").agg(F.count("*").alias("n"))
-    nodes = placeholder.merge_nodes(tables["nodes"], merged, placeholder.placeholder_headings(cut), count)
-    return tables | {"positions": placeholder.sort_positions(merged), "nodes": nodes}
+    """Adds positions of placeholder levels and sorts all by numeric OZ. tables: parse_text() with placeholders."""
+    merged = cache(lambda: tables.kept(placeholder.merge_positions(tables["positions"], placeholder.recovered(tables["found"]))))
+
+    def nodes() -> DataFrame:
+        count = tables["positions"].groupBy("doc_id").agg(F.count("*").alias("n"))
+        return placeholder.merge_nodes(tables["nodes"], merged(), placeholder.placeholder_headings(tables["segments"]), count)
+
+    return tables | {"positions": cache(lambda: placeholder.sort_positions(merged())), "nodes": cache(nodes)}
 
 
 def repair_references(tables: Tables) -> Tables:
-    out = tables | {"positions": tables.cut(lambda: repair.fold_references(tables["positions"]))}
-    return out | {
-        "positions": out["positions"],
+    """Split references glued. Each table is written when it is first asked for."""
+    folded = tables.cut(lambda: repair.fold_references(tables["positions"]))
+    return tables | {
+        "positions": folded,
         "nodes": tables.cut(lambda: tables["nodes"]),
-        "warnings": tables.cut(lambda: repair.refresh_warnings(tables["warnings"], out["positions"])),
+        "warnings": tables.cut(lambda: repair.refresh_warnings(tables["warnings"], folded())),
         "documents": tables.cut(lambda: tables["documents"]),
     }
 
 
 def parse_documents(texts: DataFrame, layouts: DataFrame | None = None, failures: DataFrame | None = None) -> Tables:
-    """All stages. layouts: (doc_id, layout_xml), where there are any; failures: (doc_id, error) of the layout tool."""
-    tables = repair_references(recover_placeholders(parse_text(texts)))
-    rows, _ = layout.post_process(tables["positions"], None, layouts, failures)
-    fixed = tables.kept(repair.repair_prices(rows))
-    final, more = subtotals.check_subtotals(fixed.drop("_fix"), subtotals.reported_totals(tables["lines"]), subtotals.price_facts(tables["lines"]))
+    """All stages. layouts: (doc_id, layout_xml), where there are any; failures: (doc_id, error) of the layout tool. Nothing runs before
+    a table is asked for."""
+    tables = repair_references(recover_placeholders(parse_text(texts, placeholders=True)))
+
+    @cache
+    def fixed() -> DataFrame:
+        rows, _ = layout.post_process(tables["positions"], None, layouts, failures)
+        return tables.kept(repair.repair_prices(rows))
+
+    @cache
+    def checked() -> tuple[DataFrame, DataFrame]:
+        return subtotals.check_subtotals(fixed().drop("_fix"), subtotals.reported_totals(tables["lines"]), subtotals.price_facts(tables["lines"]))
 
     def warnings() -> DataFrame:
         _, told = layout.post_process(tables["positions"], tables["warnings"], layouts, failures)
-        return repair.drop_price_warnings(told).unionByName(repair.price_warnings(fixed)).unionByName(more)
+        return repair.drop_price_warnings(told).unionByName(repair.price_warnings(fixed())).unionByName(checked()[1])
 
-    return tables | {"positions": tables.cut(lambda: final), "nodes": lambda: repair.clean_titles(tables["nodes"]), "warnings": tables.cut(warnings)}
+    return tables | {"positions": tables.cut(lambda: checked()[0]), "nodes": lambda: repair.clean_titles(tables["nodes"]), "warnings": tables.cut(warnings)}
 
 
 def raw_pdfs(spark: SparkSession, path: str) -> Tables:
@@ -167,7 +185,8 @@ def parse_pdfs(spark: SparkSession, path: str) -> tuple[Tables, DataFrame, DataF
 
 def placeholder_rows(texts: DataFrame) -> DataFrame:
     """Positions of placeholder levels alone, of texts (doc_id, source, text)."""
-    return placeholder.recovered(placeholder.placeholder_segments(parse.lines(texts)))
+    cut = parse.segments(parse.cut_pages(parse.pages(texts), {parse.PLACEHOLDER: placeholder.kind}))
+    return placeholder.recovered(parse.read_positions(cut))
 
 
 def export_documents(tables: Tables, formats: list[str], layouts: DataFrame | None = None, files: DataFrame | None = None, now: Column | None = None, allow_conflicts: bool = False) -> dict[str, DataFrame]:

@@ -185,6 +185,50 @@ def subtotal_check(spark, sf_dir):
     return told.groupBy("doc_id", "code", "oz", "message").agg(F.count("*").alias("n"))
 
 
+def subset_search(spark, sf_dir):
+    """V8 at its limit: each supplier's lineitems as leaves of 15, 16 and 17 amounts. Two of three leaves report what their amounts of
+    even orders sum up to (or one amount where there are too many for all subsets), the third one seven cents more."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("supplier"), F.col("l_extendedprice").cast("decimal(18,2)").alias("value"), "l_orderkey", "l_linenumber")
+    place = F.row_number().over(Window.partitionBy("supplier").orderBy("l_orderkey", "l_linenumber", "value")) - 1
+    size = 15 + F.col("supplier") % 3
+    rows = rows.withColumn("seq", place).withColumn("leaf", F.floor(F.col("seq") / size).cast("int"))
+    item = F.struct("seq", F.col("l_orderkey").cast("string").alias("oz"), "value", (F.col("l_linenumber") == 1).alias("gb"))
+    even = F.when(F.col("l_orderkey") % 2 == 0, F.col("value"))
+    leaves = rows.groupBy("supplier", "leaf").agg(F.array_sort(F.collect_list(item)).alias("found"), F.coalesce(F.sum(even), F.lit(0)).alias("even"))
+    reported = F.when(F.size("found") > 16, F.element_at("found", 1)["value"]).otherwise(F.col("even"))
+    leaves = leaves.withColumn("required", (reported + F.when(F.col("leaf") % 3 == 2, F.lit("0.07")).otherwise(F.lit("0.00")).cast("decimal(3,2)")).cast("decimal(38,2)"))
+    tried = subtotals.with_matching_subset(leaves, F.lit(True))
+    members = F.array_join(F.transform("chosen", lambda i: F.get("found", i)["seq"].cast("string")), ",")
+    return tried.select("supplier", F.col("leaf").cast("long").alias("leaf"), F.size("found").cast("long").alias("n"), members.alias("members"))
+
+
+# All subsets of each half of a leaf; halves meet where their sums are within two cents of what is required.
+SUBSET_SEARCH = """
+WITH placed AS (
+  SELECT l_suppkey AS supplier, CAST(l_extendedprice AS DECIMAL(18,2)) AS value, l_orderkey, l_linenumber,
+    row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, CAST(l_extendedprice AS DECIMAL(18,2))) - 1 AS seq FROM lineitem
+), item AS (
+  SELECT supplier, seq // (15 + supplier % 3) AS leaf, seq % (15 + supplier % 3) AS i, seq, CAST(value * 100 AS BIGINT) AS cents, (l_linenumber = 1)::INT AS gb, l_orderkey % 2 = 0 AS even FROM placed
+), leaf AS (
+  SELECT supplier, leaf, count(*) AS n, CASE WHEN count(*) > 16 THEN min_by(cents, i) ELSE coalesce(sum(cents) FILTER (even), 0) END + CASE WHEN leaf % 3 = 2 THEN 7 ELSE 0 END AS required FROM item GROUP BY supplier, leaf
+), half AS (
+  SELECT supplier, leaf, 0 AS first, least(n, 8) AS k FROM leaf WHERE n <= 16 UNION ALL SELECT supplier, leaf, 8, greatest(n - 8, 0) FROM leaf WHERE n <= 16
+), mask AS (SELECT supplier, leaf, first, unnest(range(0, 1 << CAST(k AS INT))) AS mask FROM half), sums AS (
+  SELECT m.supplier, m.leaf, m.first, m.mask, coalesce(sum(cents), 0) AS cents, coalesce(sum(gb), 0) AS gb
+  FROM mask m LEFT JOIN item i ON m.supplier = i.supplier AND m.leaf = i.leaf AND i.i >= m.first AND i.i < m.first + 8 AND (m.mask >> CAST(i.i - m.first AS INT)) & 1 = 1 GROUP BY ALL
+), off AS (SELECT unnest([-2, -1, 0, 1, 2]) AS d), fits AS (
+  SELECT a.supplier, a.leaf, a.gb + b.gb AS gb, a.mask + (b.mask << 8) AS mask
+  FROM (SELECT * FROM sums WHERE first = 8) b JOIN leaf l ON b.supplier = l.supplier AND b.leaf = l.leaf CROSS JOIN off
+    JOIN (SELECT * FROM sums WHERE first = 0) a ON a.supplier = b.supplier AND a.leaf = b.leaf AND a.cents = l.required - b.cents + d WHERE a.mask + b.mask > 0
+), best AS (SELECT *, row_number() OVER (PARTITION BY supplier, leaf ORDER BY gb DESC, bit_count(mask), mask) AS nth FROM fits), chosen AS (
+  SELECT b.supplier, b.leaf, seq FROM best b JOIN item i ON b.supplier = i.supplier AND b.leaf = i.leaf AND (b.mask >> CAST(i.i AS INT)) & 1 = 1 WHERE nth = 1
+  UNION ALL SELECT supplier, leaf, seq FROM (
+    SELECT i.supplier, i.leaf, seq, count(*) OVER (PARTITION BY i.supplier, i.leaf) AS k FROM item i JOIN leaf l ON i.supplier = l.supplier AND i.leaf = l.leaf WHERE n > 16 AND abs(cents - required) <= 2) WHERE k = 1
+)
+SELECT l.supplier, l.leaf, n, members FROM leaf l LEFT JOIN (SELECT supplier, leaf, string_agg(seq, ',' ORDER BY seq) AS members FROM chosen GROUP BY ALL) c ON l.supplier = c.supplier AND l.leaf = c.leaf
+"""
+
+
 def leaf_totals(spark, sf_dir):
     """Positions and totals by leaf."""
     return pipeline.leaf_totals(item_positions(spark, sf_dir))
@@ -227,7 +271,7 @@ def layout_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def round_trip(spark, sf_dir):
     """Layout texts parsed back to positions."""
-    found = parse.positions(parse.main_segments(parse.lines(layout_texts(spark, sf_dir))))
+    found = pipeline.parse_text(layout_texts(spark, sf_dir))["positions"]
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("seq"))
     return found.select("doc_id", nth.alias("nth"), "oz", "quantity", "unit", "unit_price", "total_price", "short_text", "long_text", "page_from", "page_to", "provisional", "price_only")
 
@@ -300,8 +344,8 @@ def placeholder_positions(spark, sf_dir):
     """Every document's first level gets a placeholder."""
     texts = layout_texts(spark, sf_dir)
     texts = texts.withColumn("text", F.regexp_replace("text", r"(?m)^(\d\d\.\d\d)\.02\.(\d{3})", "$1.__.$2"))
-    rows = parse.lines(texts)
-    found = placeholder.merge_positions(parse.positions(parse.main_segments(rows)), placeholder.recovered(placeholder.placeholder_segments(rows)))
+    tables = pipeline.parse_text(texts, placeholders=True)
+    found = placeholder.merge_positions(tables["positions"], placeholder.recovered(tables["found"]))
     return found.where(F.col("oz").like("%.00.%")).select("doc_id", "oz", "quantity", "unit_price", "total_price", "short_text")
 
 
@@ -407,10 +451,14 @@ SELECT doc_id, count(*) FILTER (NOT noise) AS n_lines, sum(length(line)) FILTER
 
 
 def segments(spark, sf_dir):
-    """Runs that open where the user speaks."""
-    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("doc_id"), F.lit(1).alias("page"), F.col("turn").alias("line_no"), "role", F.col("text").alias("line"))
-    cut = parse.segment(turns, F.col("role") == "user")
-    return cut.groupBy("doc_id", "seg").agg(F.count("*").alias("n"), F.min("line_no").alias("first"))
+    """Conversations as pages of eight turns; segments open where the user speaks and run on over pages."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("doc_id"), "turn", F.concat_ws(" ", F.col("turn").cast("string"), "role").alias("line"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("turn", "line"))), lambda r: r["line"])
+    read = turns.groupBy("doc_id", F.floor(F.col("turn") / 8).cast("int").alias("page")).agg(lines.alias("lines")).withColumn("raw", F.col("lines"))
+    cut = parse.segments(parse.cut_pages(read, {parse.MAIN: lambda x: F.when(x.endswith(" user"), "position").otherwise("text")}))
+    first = F.coalesce("head.line", F.get("body", F.lit(0))["line"])
+    n = F.size("body") + F.col("head").isNotNull().cast("int")
+    return cut.select("doc_id", F.col("seg").cast("long").alias("seg"), n.cast("long").alias("n"), F.substring_index(first, " ", 1).cast("long").alias("first"))
 
 
 SEGMENTS = """
@@ -513,6 +561,7 @@ QUERIES = {
     "placeholder_positions": placeholder_positions,
     "reference_fold": reference_fold,
     "subtotal_check": subtotal_check,
+    "subset_search": subset_search,
     "line_kinds": line_kinds,
     "segments": segments,
     "asof_carry": asof_carry,
@@ -552,6 +601,7 @@ ORACLE_SQL = {
     "german_decimal": GERMAN_DECIMAL,
     "reference_fold": REFERENCE_FOLD,
     "subtotal_check": SUBTOTAL_CHECK,
+    "subset_search": SUBSET_SEARCH,
     "export_json": export_sql.json(ITEMS),
     "export_master_xml": export_sql.master(ITEMS),
     "export_x83": export_sql.exchange(ITEMS, "83", False),
