@@ -25,8 +25,11 @@ KINDS = [*BASE, ADDED]
 #: Least length of a key.
 LEAST = 16
 #: Runs that may be a key: no blanks, none of the marks that end one. A full stop ends a run, so the parts of a dotted
-#: string are runs of their own.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}(?![A-Za-z0-9+/_=@-])" % LEAST)
+#: string are runs of their own. An @ ends a run, too: what counts there is said by PASSWORD.
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}(?![A-Za-z0-9+/_=-])" % LEAST)
+#: What stands before a run that an @ follows, if the run is a password or token of an address (name:run@host, scheme://run@host)
+#: and not the name of a mailbox.
+PASSWORD = re.compile(r"(?<![A-Za-z])(?!(?i:mailto|mail|e-mail|email|xmpp|sip|sips):\Z)[^\s:@]*:\Z")
 #: What is no key by the way it goes on after its first part: host names in small letters, file names, mail addresses.
 NAMED = re.compile(
     r"(?:[a-z0-9-]+(?:\.[a-z0-9-]+){0,8}\.(?:[a-z]{2}|com|org|net|edu|gov|mil|int|info|biz|dev|app|cloud|example|test|local|internal|invalid)(?![A-Za-z0-9+_=-]|\.[A-Za-z0-9])"
@@ -52,27 +55,32 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return [(m.start(), m.end(), kind) for kind, (pattern, group, least) in BASE.items() for m in pattern.finditer(text) if len(m.group(group)) >= least]
 
 
-def is_random(run: str, vocabulary: Vocabulary, ratio: float) -> bool:
+def is_random(run: str, vocabulary: Vocabulary, ratio: float, changes: int = CHANGES) -> bool:
     """Few characters a token, letters, digits or many changes of case, and no known form."""
     if not re.search(r"[A-Za-z]", run) or KNOWN.match(run):
         return False
     if not re.search(r"[0-9]", run):
-        if len(_CHANGE.findall(run)) < CHANGES:
+        if len(_CHANGE.findall(run)) < changes:
             return False
         ratio = min(ratio, LETTERS_RATIO)
     return len(run) <= ratio * sum(len(vocabulary.encode_piece(piece.encode())) for piece in vocabulary.split(run))
 
 
-def random_spans(text: str, vocabulary: Vocabulary, ratio: float = RATIO) -> list[tuple[int, int, str]]:
+def random_spans(text: str, vocabulary: Vocabulary, ratio: float = RATIO, changes: int = CHANGES) -> list[tuple[int, int, str]]:
     """Runs with few characters a token. A run needs letters, digits or many changes of case, and no known form.
 
     After a full stop, plain names up to a slash (the rest of a host name, folders) don't count to the run, and a last
     part that begins a host or file name (NAMED) doesn't either. Where a run with slashes isn't random as a whole, as paths
-    aren't, its parts are tested. A run right before an @ is part of an address.
+    aren't, its parts are tested. A run right before an @ counts where PASSWORD fits what is before it; otherwise it names a mailbox.
     """
     found = []
     for m in CANDIDATE.finditer(text):
         start, end = m.span()
+        if text[end : end + 1] == "@":
+            if not PASSWORD.search(text[max(0, start - 80) : start]):
+                continue
+            while start < end and text[start] == "/":
+                start += 1
         if text[end : end + 1] == ".":
             last = max(start, text.rfind("/", start, end) + 1)
             if NAMED.match(text, last):
@@ -82,11 +90,11 @@ def random_spans(text: str, vocabulary: Vocabulary, ratio: float = RATIO) -> lis
                 start = cut + 1
         if end - start < LEAST:
             continue
-        if is_random(text[start:end], vocabulary, ratio):
+        if is_random(text[start:end], vocabulary, ratio, changes):
             found.append((start, end, ADDED))
             continue
         for part in text[start:end].split("/") if "/" in text[start:end] else []:
-            if len(part) >= LEAST and is_random(part, vocabulary, ratio):
+            if len(part) >= LEAST and is_random(part, vocabulary, ratio, changes):
                 found.append((start, start + len(part), ADDED))
             start += len(part) + 1
     return found
@@ -96,14 +104,15 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{kind}:{a}:{b}" for a, b, kind in sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]))))
 
 
-def scan(docs: DataFrame, vocabulary: Vocabulary | None = None, ratio: float = RATIO) -> DataFrame:
+def scan(docs: DataFrame, vocabulary: Vocabulary | None = None, ratio: float = RATIO, changes: int = CHANGES) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, found) of every row.
 
     spans joins kind:start:end of all spans by start, then kind; offsets are code points, ends exclusive. Spans of the
     token-efficiency test that lie inside a base span are left out, as that secret is reported already. found is the
     same as an array of (kind, start, end). A null text counts as empty: no spans. Every row is scanned by itself, in
     one pass without shuffle; repeated rows give a row each; texts are scanned whole; other columns don't matter. Where kinds
-    begin at one place, the order of KINDS decides. An empty table gives an empty result.
+    begin at one place, the order of KINDS decides. An empty table gives an empty result. Letters alone count with ``changes``
+    changes of case; 0 also takes keys of one case, and then rare long words with them.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary or load_vocabulary())
     key = docs.select("doc_id").schema[0].dataType.simpleString()
@@ -116,7 +125,7 @@ def scan(docs: DataFrame, vocabulary: Vocabulary | None = None, ratio: float = R
             for text in batch.column(1):
                 text = text.as_py() or ""
                 base = base_spans(text)
-                more = [s for s in random_spans(text, shared.value, ratio) if not any(a <= s[0] and s[1] <= b for a, b, _ in base)]
+                more = [s for s in random_spans(text, shared.value, ratio, changes) if not any(a <= s[0] and s[1] <= b for a, b, _ in base)]
                 for at, kind in zip(counts, BASE):
                     at.append(sum(s[2] == kind for s in base))
                 digests.append(hashlib.sha256(joined(base).encode()).hexdigest())

@@ -54,6 +54,29 @@ def test_random_strings_that_touch_a_full_stop_or_a_path(vocabulary, text, want)
     assert [text[a:b] for a, b, _ in secrets.random_spans(text, vocabulary)] == want
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        (f"git clone https://deploy:{KEY}@git.example.com/x", [KEY]),
+        (f"postgres://app:{KEY}@db", [KEY]),
+        (f"bob:{KEY}@host", [KEY]),
+        (f"https://{KEY}@git.example.com", [KEY]),
+        (f"redis://:{KEY}@cache:6379", [KEY]),
+        ("write to maria.hernandez-gonzalez@example.com or info-department-2024@example.com", []),
+        (f"mailto:{KEY}@example.com Mail:{KEY}@example.com e-mail:{KEY}@example.com {KEY}@lists.example.com", []),
+        ("kontakt:donaudampfschifffahrt-gesellschaft@example.com", []),
+    ],
+)
+def test_keys_and_mailboxes_before_an_at(vocabulary, text, want):
+    assert [text[a:b] for a, b, _ in secrets.random_spans(text, vocabulary)] == want
+
+
+def test_keys_of_one_case_are_asked_for(vocabulary):
+    key = "qzxkvjwpqhzgxkvb"
+    assert secrets.random_spans(f"a {key} b", vocabulary) == []
+    assert secrets.random_spans(f"a {key} b", vocabulary, changes=0) == [(2, 2 + len(key), "random")]
+
+
 def test_scan(spark, vocabulary):
     texts = ["ü token=abcdef", None, "", "kJ8sQ2vLx9ZpT4wR7yUb", "a" * 200000 + " " + "f" * 30]
     docs = spark.createDataFrame([(i, t, 1, "y") for i, t in enumerate(texts)] + [(None, "x", 1, "y"), (0, "ü token=abcdef", 1, "y")], "doc_id long, text string, n_hex int, spans string")
