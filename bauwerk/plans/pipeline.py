@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bauwerk.operators import images, layout, parse, placeholder, repair, subtotals
+from bauwerk.schema import message
 from bauwerk.sinks import export
-from bauwerk.sources import files
+from bauwerk.sources import pdf
 
 
 class Tables(dict):
@@ -168,18 +169,31 @@ def parse_documents(texts: DataFrame, layouts: DataFrame | None = None, failures
 
 
 def raw_pdfs(spark: SparkSession, path: str) -> Tables:
-    """Tables of the raw parser for PDF files."""
-    return parse_text(files.read_pdfs(spark, path))
+    """Tables of the raw parser for PDF files; a file whose text can't be had is no document but a warning."""
+    read = pdf.read(spark, path, layout=False).persist(StorageLevel.MEMORY_AND_DISK)
+    tables = _with_broken(parse_text(read.where("text IS NOT NULL").select("doc_id", "source", "text")), read)
+    tables.owned.append(read.unpersist)
+    return tables
+
+
+def _with_broken(tables: Tables, read: DataFrame) -> Tables:
+    """tables with a warning for each file of pdf.read() without a text."""
+    broken = read.where("text_error IS NOT NULL").select(
+        "doc_id", F.lit(0).alias("stage"), F.lit(1).alias("ordinal"), F.lit("text_failed").alias("code"), F.lit(None).cast("string").alias("oz"), message("text_failed", F.lit(""), a=F.col("text_error")).alias("message"),
+    )
+    return tables | {"warnings": cache(lambda: tables["warnings"].unionByName(broken))}
 
 
 def parse_pdfs(spark: SparkSession, path: str) -> tuple[Tables, DataFrame, DataFrame]:
-    """(tables of all stages, layouts, images) of PDF files; where the layout tool fails, a warning says so."""
-    read = files.read_pdf_layouts(spark, path).persist(StorageLevel.MEMORY_AND_DISK)
-    layouts = read.where("error IS NULL").select("doc_id", "layout_xml")
-    shots = read.select("doc_id", F.explode("images").alias("i")).select("doc_id", "i.src", "i.content")
-    texts = files.read_pdfs(spark, path).persist(StorageLevel.MEMORY_AND_DISK)
-    tables = parse_documents(texts, layouts, read.where("error IS NOT NULL").select("doc_id", "error"))
-    tables.owned += [read.unpersist, texts.unpersist]
+    """(tables of all stages, layouts, images) of PDF files, each read once; where a tool fails, a warning says so, and the other files
+    go on."""
+    read = pdf.read(spark, path).persist(StorageLevel.MEMORY_AND_DISK)
+    sound = read.where("text IS NOT NULL")
+    layouts = sound.where("layout_error IS NULL").select("doc_id", "layout_xml")
+    shots = sound.select("doc_id", F.explode("images").alias("i")).select("doc_id", "i.src", "i.content")
+    failures = sound.where("layout_error IS NOT NULL").select("doc_id", F.col("layout_error").alias("error"))
+    tables = _with_broken(parse_documents(sound.select("doc_id", "source", "text"), layouts, failures), read)
+    tables.owned.append(read.unpersist)
     return tables, layouts, shots
 
 

@@ -23,6 +23,7 @@ MESSAGES = {
     "dup_oz": "Doppelte OZ: {oz}",
     "incomplete": "Unvollständige Preiszeile: {oz}",
     "deviation": "Preisabweichung {oz}: {a}",
+    "text_failed": "PDF-Text konnte nicht gelesen werden: {a}",
     "layout_failed": "Kurztext-Layout konnte nicht ausgewertet werden: {a}",
     "swapped": "Preis korrigiert: {oz} – EP und GP waren wahrscheinlich vertauscht",
     "gp_fixed": "Preis korrigiert: {oz} – GP {a} wurde aus Menge × EP als {b} neu berechnet",

@@ -1,13 +1,7 @@
-"""Layout texts, layout XML, images and PDF files as DataFrames."""
+"""Layout texts, layout XML and images as DataFrames (S3, S4, S6, S8); PDF files are in pdf.py."""
 
 from __future__ import annotations
 
-import shutil
-import subprocess
-import tempfile
-from pathlib import Path
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,61 +29,3 @@ def read_layouts(spark: SparkSession, path: str) -> DataFrame:
 def read_images(spark: SparkSession, path: str, doc_id: str) -> DataFrame:
     """(doc_id, src, content) of image files that a document's layout names by file name."""
     return spark.read.format("binaryFile").load(path).select(F.lit(doc_id).alias("doc_id"), _name().alias("src"), "content")
-
-
-def _tool(name: str) -> str:
-    found = shutil.which(name)
-    if not found:
-        raise RuntimeError(f"{name} konnte nicht gestartet werden; bitte Poppler installieren")
-    return found
-
-
-def pdf_text(content: bytes) -> str:
-    with tempfile.NamedTemporaryFile(suffix=".pdf") as file:
-        file.write(content)
-        file.flush()
-        done = subprocess.run([_tool("pdftotext"), "-layout", file.name, "-"], capture_output=True)
-    if done.returncode:
-        raise RuntimeError(f"pdftotext ist fehlgeschlagen: {done.stderr.decode(errors='replace').strip()}")
-    return done.stdout.decode()
-
-
-def pdf_layout(content: bytes) -> tuple[str, list[tuple[str, bytes]]]:
-    """Layout XML and the images beside it."""
-    with tempfile.TemporaryDirectory() as folder:
-        source, xml = Path(folder, "input.pdf"), Path(folder, "layout.xml")
-        source.write_bytes(content)
-        done = subprocess.run([_tool("pdftohtml"), "-xml", "-hidden", "-nodrm", "-enc", "UTF-8", str(source), str(xml)], capture_output=True)
-        if done.returncode:
-            raise RuntimeError(f"pdftohtml ist fehlgeschlagen: {done.stderr.decode(errors='replace').strip()}")
-        images = [(p.name, p.read_bytes()) for p in sorted(Path(folder).iterdir()) if p.suffix.lower() in (".png", ".jpg", ".jpeg")]
-        return xml.read_text().replace(f"{folder}/", ""), images
-
-
-def read_pdfs(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, source, text) of PDF files, by the text tool, which must be installed where tasks run; one run a file."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-
-    def run(frames):
-        for frame in frames:
-            yield pd.DataFrame({"doc_id": frame["path"], "source": [p.rsplit("/", 1)[-1] or "input.pdf" for p in frame["path"]], "text": [pdf_text(c) for c in frame["content"]]})
-
-    return files.mapInPandas(run, "doc_id string, source string, text string")
-
-
-def read_pdf_layouts(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, layout_xml, images array<struct<src, content>>, error): a file whose layout can't be had has an error."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-
-    def run(frames):
-        for frame in frames:
-            rows = []
-            for name, content in zip(frame["path"], frame["content"]):
-                try:
-                    xml, images = pdf_layout(content)
-                    rows.append((name, xml, [{"src": s, "content": c} for s, c in images], None))
-                except RuntimeError as error:
-                    rows.append((name, None, [], str(error)))
-            yield pd.DataFrame(rows, columns=["doc_id", "layout_xml", "images", "error"])
-
-    return files.mapInPandas(run, "doc_id string, layout_xml string, images array<struct<src: string, content: binary>>, error string")

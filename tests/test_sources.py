@@ -15,7 +15,8 @@ from bauwerk.operators import images, indent, layout
 from bauwerk.plans import pipeline
 from bauwerk.schema import POSITIONS
 from bauwerk.sinks import export
-from bauwerk.sources import files
+from bauwerk.sinks import files as sink
+from bauwerk.sources import files, pdf
 from bauwerk.streaming import ingest
 
 TEXT = "Projekt Schule\n01 Erdbau\n01.01.01.010 2,500 qm 10,00 € 25,00 €\nKurz\nlang\n01.01.01.020 1,000 m 2,00 € 2,00 €\nZulage zu Position 01.01.01.010\n01.01.01.030 1,000 m 2,00 € 2,00 €\nletzter\n"
@@ -49,11 +50,26 @@ def test_pdf_entries(spark, folder):
     tables.release()
 
 
-def test_a_broken_pdf_is_an_error(spark, folder):
+def test_a_broken_pdf_is_a_warning_and_stops_no_other(spark, folder):
     (folder / "bad.pdf").write_text("BROKEN")
-    with pytest.raises(Exception, match="pdftotext ist fehlgeschlagen"):
-        files.read_pdfs(spark, f"{folder}/bad.pdf").collect()
-    assert [r.error for r in files.read_pdf_layouts(spark, f"{folder}/bad.pdf").collect()] == ["pdftohtml ist fehlgeschlagen: damaged file"]
+    (row,) = pdf.read(spark, f"{folder}/bad.pdf").collect()
+    assert (row.text, row.text_error, row.layout_error) == (None, "pdftotext ist fehlgeschlagen: damaged file", "pdftohtml ist fehlgeschlagen: damaged file")
+    tables, layouts, _ = pipeline.parse_pdfs(spark, str(folder))
+    assert sorted(r.source for r in tables["documents"].collect()) == ["bare.pdf", "good.pdf"] and layouts.count() == 1
+    told = sorted((r.doc_id.rsplit("/", 1)[-1], r.stage, r.message) for r in tables["warnings"].where("stage < 4").collect())
+    assert told == [("bad.pdf", 0, "PDF-Text konnte nicht gelesen werden: pdftotext ist fehlgeschlagen: damaged file"), ("bare.pdf", 3, "Kurztext-Layout konnte nicht ausgewertet werden: pdftohtml ist fehlgeschlagen: damaged file")]
+    tables.release()
+
+
+def test_pdf_source(spark, folder):
+    for i in range(40):
+        (folder / f"x{i:02}.pdf").write_text(f"Text {i}\n")
+    read = pdf.read(spark, f"file:{folder}/x??.pdf", layout=False)
+    assert read.rdd.getNumPartitions() == 3  # 16 files each
+    assert sorted(r.text for r in read.collect()) == sorted(f"Text {i}\n" for i in range(40))
+    assert spark.read.format("bauwerk_pdf").option("files", "5").load(f"{folder}/x0*.pdf").rdd.getNumPartitions() == 2
+    assert pdf.read(spark, f"{folder}/none*.pdf").count() == 0
+    assert {r.layout_xml for r in read.collect()} == {None}
 
 
 def test_texts_layouts_and_placeholders(spark, tmp_path):
@@ -167,3 +183,41 @@ def test_released_tables_leave_no_files(spark, tmp_path):
     assert set(shared.glob("cut-*")) != before
     tables.release()
     assert set(shared.glob("cut-*")) == before
+
+
+def test_many_documents_to_files(spark, tmp_path):
+    n = 10_000
+    docs = spark.range(n).select(F.concat(F.lit("in/"), (F.col("id") % 100).cast("string"), F.lit("/LV ä.pdf?"), "id").alias("doc_id"), F.when(F.col("id") != 7, F.concat(F.lit("<x>"), F.col("id").cast("string"), F.lit("</x>"))).alias("xml"), F.when(F.col("id") == 7, F.lit("gesperrt")).alias("blocked"))
+    out = tmp_path / "out"
+    sink.write_documents(docs.repartition(6), str(out), "x83", folders=1)
+    found = list(out.glob("*/*.x83"))
+    assert len(found) == n - 1 and {f.read_text() for f in found} == {f"<x>{i}</x>" for i in range(n) if i != 7}
+    assert '"files": 9999' in (out / "_SUCCESS").read_text() and [r.reason for r in sink.blocked(docs).collect()] == ["gesperrt"]
+    sink.write_documents(docs.limit(50), str(out), "x83", folders=1)  # again: the same names
+    assert len(list(out.glob("*/*.x83"))) == n - 1
+
+
+def test_a_failed_write_leaves_whole_files_only(spark, tmp_path):
+    text = "x" * 100_000
+    docs = spark.range(200).select(F.col("id").cast("string").alias("doc_id"), F.when(F.col("id") == 150, F.raise_error(F.lit("lost"))).otherwise(F.lit(text)).alias("xml"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        with pytest.raises(Exception, match="lost"):
+            sink.write_documents(docs.coalesce(2), str(tmp_path / "out"), "xml")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    files_left = list((tmp_path / "out").iterdir())
+    assert not (tmp_path / "out" / "_SUCCESS").exists() and not [f for f in files_left if f.name.startswith(".")]
+    assert {f.stat().st_size for f in files_left} <= {len(text)}
+
+
+def test_command_line_for_a_folder(spark, folder, monkeypatch, capsys):
+    monkeypatch.setattr(spark, "stop", lambda: None)
+    (folder / "bad.pdf").write_text("BROKEN")
+    (folder / "twice.pdf").write_text(TEXT + "01.01.01.030 1,000 m 2,00 € 2,00 €\nnoch einmal\n%LAYOUT\n" + LAYOUT)
+    assert cli.main(["parse", str(folder), "--x83", str(folder / "x83"), "--json", str(folder / "json")]) == 1
+    names = lambda kind: sorted(f.name[:4] for f in (folder / kind).glob(f"*.{kind}"))
+    assert names("x83") == ["bare", "good"] and names("json") == ["bare", "good", "twic"]
+    said = capsys.readouterr().err
+    assert "1 Dokument(e) gesperrt" in said and "1 Datei(en) konnten nicht gelesen werden." in said
+    assert cli.main(["parse", str(folder / "bad.pdf"), "--json", str(folder / "bad.json")]) == 1 and not (folder / "bad.json").exists()
