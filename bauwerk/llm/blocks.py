@@ -9,6 +9,7 @@ rows in the same order, which a table in files always does, also when tasks are
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -31,6 +32,19 @@ _squeeze = zstandard.ZstdCompressor(level=1)
 _unsqueeze = zstandard.ZstdDecompressor()
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # another C library
+    _trim = None
+
+
+def give_back() -> None:
+    """Return what a block has freed to the system: workers live on, and what they keep counts beside the next stage's needs."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def pack_codes(codes: np.ndarray) -> bytes:
     """uint32 codes, byte plane by byte plane, compressed; the upper planes are mostly zero."""
     planes = np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T)
@@ -129,6 +143,7 @@ def read_blocks(batches: Iterator[pa.RecordBatch], coder: Callable[[], object])
                 yield close()
                 made += 1
                 own, parts, ids, marks, chars = coder(), [], [], [], 0
+                give_back()
     if ids:
         yield close()
 
@@ -254,6 +269,7 @@ def by_block(batches: Iterator[pa.RecordBatch], start: Callable[[], object], lea
                 continue
             if numbers[lo] != block:
                 block, state, check = numbers[lo], start(), None
+                give_back()
             part = batch.slice(lo, hi - lo)
             checks = set(part.column(2).to_pylist()) | ({check} if check is not None else set())
             if len(checks) > 1:
