@@ -102,9 +102,9 @@ def _delete_all() -> None:
         _delete(path)
 
 
-def parse_text(texts: DataFrame, placeholders: bool = False) -> Tables:
+def parse_text(texts: DataFrame, placeholders: bool = True) -> Tables:
     """Tables of the raw parser, in order of appearance and uncleaned. texts: (doc_id, source, text). placeholders: read positions of
-    placeholder levels on the way, for recover_placeholders(). Each table's plan is made when the table is asked for."""
+    placeholder levels on the way, which recover_placeholders() asks for. Each table's plan is made when the table is asked for."""
     out = Tables({})
     read = cache(lambda: out.kept(parse.pages(texts)))
     kinds = {parse.MAIN: parse.kind} | ({parse.PLACEHOLDER: placeholder.kind} if placeholders else {})
@@ -120,9 +120,7 @@ def parse_text(texts: DataFrame, placeholders: bool = False) -> Tables:
         "positions": main,
         "warnings": cache(lambda: parse.first_warnings(main())),
         "lines": rows,
-        "segments": cut,
-        "found": found,
-    }
+    } | ({"segments": cut, "found": found} if placeholders else {})
 
 
 def recover_placeholders(tables: Tables) -> Tables:
@@ -150,7 +148,7 @@ def repair_references(tables: Tables) -> Tables:
 def parse_documents(texts: DataFrame, layouts: DataFrame | None = None, failures: DataFrame | None = None) -> Tables:
     """All stages. layouts: (doc_id, layout_xml), where there are any; failures: (doc_id, error) of the layout tool. Nothing runs before
     a table is asked for."""
-    tables = repair_references(recover_placeholders(parse_text(texts, placeholders=True)))
+    tables = repair_references(recover_placeholders(parse_text(texts)))
 
     @cache
     def fixed() -> DataFrame:
@@ -171,7 +169,7 @@ def parse_documents(texts: DataFrame, layouts: DataFrame | None = None, failures
 def raw_pdfs(spark: SparkSession, path: str) -> Tables:
     """Tables of the raw parser for PDF files; a file whose text can't be had is no document but a warning."""
     read = pdf.read(spark, path, layout=False).persist(StorageLevel.MEMORY_AND_DISK)
-    tables = _with_broken(parse_text(read.where("text IS NOT NULL").select("doc_id", "source", "text")), read)
+    tables = _with_broken(parse_text(read.where("text IS NOT NULL").select("doc_id", "source", "text"), placeholders=False), read)
     tables.owned.append(read.unpersist)
     return tables
 

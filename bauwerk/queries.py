@@ -271,7 +271,7 @@ def layout_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def round_trip(spark, sf_dir):
     """Layout texts parsed back to positions."""
-    found = pipeline.parse_text(layout_texts(spark, sf_dir))["positions"]
+    found = pipeline.parse_text(layout_texts(spark, sf_dir), placeholders=False)["positions"]
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("seq"))
     return found.select("doc_id", nth.alias("nth"), "oz", "quantity", "unit", "unit_price", "total_price", "short_text", "long_text", "page_from", "page_to", "provisional", "price_only")
 
@@ -286,7 +286,7 @@ SELECT doc_id, seq AS nth, oz, quantity, 'qm' AS unit, unit_price, CASE WHEN fla
 
 def parsed_documents(spark, sf_dir):
     """Metadata and preamble."""
-    return pipeline.parse_text(layout_texts(spark, sf_dir))["documents"]
+    return pipeline.parse_text(layout_texts(spark, sf_dir), placeholders=False)["documents"]
 
 
 PARSED_DOCUMENTS = """
@@ -344,7 +344,7 @@ def placeholder_positions(spark, sf_dir):
     """Every document's first level gets a placeholder."""
     texts = layout_texts(spark, sf_dir)
     texts = texts.withColumn("text", F.regexp_replace("text", r"(?m)^(\d\d\.\d\d)\.02\.(\d{3})", "$1.__.$2"))
-    tables = pipeline.parse_text(texts, placeholders=True)
+    tables = pipeline.parse_text(texts)
     found = placeholder.merge_positions(tables["positions"], placeholder.recovered(tables["found"]))
     return found.where(F.col("oz").like("%.00.%")).select("doc_id", "oz", "quantity", "unit_price", "total_price", "short_text")
 
@@ -412,15 +412,15 @@ SELECT doc_id, code, oz, message, count(*) AS n FROM told GROUP BY ALL
 """
 
 
-def _export(kind: str):
+def _export(kind: str, *others: str):
     def run(spark, sf_dir):
         tables = pipeline.parse_documents(layout_texts(spark, sf_dir))
         stamp = F.lit("2024-01-02 03:04:05").cast("timestamp")
-        out = pipeline.export_documents(tables, [kind], now=stamp, allow_conflicts=True)[kind]
+        out = pipeline.export_documents(tables, [kind, *others], now=stamp, allow_conflicts=True)[kind]
         body = F.col("json" if kind == "json" else "xml")
         return out.select("doc_id", F.regexp_count(body, F.lit('<Item |<Position |"oz" : "[0-9.]{12}"')).cast("long").alias("n_items"), F.sha2(body, 256).alias("digest"))
 
-    run.__doc__ = f"K1-K17: the {kind} export of every document, as its number of items and a digest."
+    run.__doc__ = f"K1-K17: the {kind} export of every document, as its number of items and a digest." + " K8: beside " * bool(others) + ", ".join(others)
     return run
 
 
@@ -574,6 +574,7 @@ QUERIES = {
     "export_x83": _export("x83"),
     "export_x84": _export("x84"),
     "export_x83_priced": _export("x83_priced"),
+    "export_x83_derived": _export("x83_priced", "x84"),
 }
 
 ORACLE_SQL = {
@@ -607,4 +608,5 @@ ORACLE_SQL = {
     "export_x83": export_sql.exchange(ITEMS, "83", False),
     "export_x84": export_sql.exchange(ITEMS, "84", True),
     "export_x83_priced": export_sql.exchange(ITEMS, "83", True),
+    "export_x83_derived": export_sql.exchange(ITEMS, "83", True),
 }
