@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import id_crc
 
 #: Characters of the longest text that may be drawn for fitting, which bounds the sample; scoring uses every text whole.
 LONGEST = 200_000
+#: Rows of one id that may be drawn for fitting.
+ROWS = 4
 
 
 def training_rows(labels: DataFrame, label: str, folds: int = 5) -> DataFrame:
@@ -18,11 +20,12 @@ def training_rows(labels: DataFrame, label: str, folds: int = 5) -> DataFrame:
     return known.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sizes: dict[int, int], longest: int = LONGEST) -> tuple[list[tuple[bytes, int]], dict[int, int]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sizes: dict[int, int], longest: int = LONGEST, most_rows: int = ROWS) -> tuple[list[tuple[bytes, int]], dict[int, int]]:
     """At most sizes[y] texts of each class, those whose ids have the smallest hashes, and how many rows each class has.
 
-    The sample's size is a parameter, so the join may broadcast it; a document counts with all its rows' texts. Null texts count
-    as empty; texts of more than ``longest`` characters aren't drawn.
+    The sample's size is a parameter, so the join may broadcast it; an id counts with the texts of most_rows of its rows, those with the
+    smallest hashes, so an id that stands in very many rows brings no more. Null texts count as empty; texts of more than
+    ``longest`` characters aren't drawn. Ties are equal texts, so which of them is drawn doesn't matter.
     """
     rows = training_rows(labels, label).persist()
     counts = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
@@ -31,7 +34,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sizes: dict[
         some = rows.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
         picked = some if picked is None else picked.unionByName(some)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= longest)
-    found = texts.join(F.broadcast(picked), "doc_id").select(F.xxhash64("doc_id").alias("h"), "y", F.col("text").cast("binary").alias("text")).collect()
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
+    drawn = texts.join(F.broadcast(picked), "doc_id").withColumn("nth", nth).where(F.col("nth") <= most_rows)
+    found = drawn.select(F.xxhash64("doc_id").alias("h"), "y", F.col("text").cast("binary").alias("text")).collect()
     rows.unpersist()
     return [(bytes(r["text"]), r["y"]) for r in sorted(found, key=lambda r: (r["h"], bytes(r["text"])))], counts
 

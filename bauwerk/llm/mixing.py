@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .ranks import ranked, running
 from .shared import WORD, documents, materialise
 
 #: Rows of one cell and cells of one block, on average; a cell is what one window group sorts.
@@ -25,28 +26,22 @@ def source_targets(stats: DataFrame, weights: list[int], share: float, at_most:
     Sources get the weights in code point order, null last, over and over. They share ``share`` of all sizes;
     none gets more than ``at_most`` times its own size, and what is over goes to the others by weight
     until none is above. That is the water level L with sum(min(cap, weight * L)) = total: after sorting
-    by cap / weight, the capped sources are a prefix, found by running sums. Only one row per source takes part.
+    by cap / weight, the capped sources are a prefix, found by running sums. One row per source takes part, and these are
+    numbered and summed up by ranges, so there may be as many sources as documents.
     """
     if share > at_most:
         raise ValueError("share of all sizes can't be above at_most")
-    every = Window.partitionBy(F.lit(0))
-    by_name = every.orderBy(F.col("source").isNull(), "source")
-    by_level = every.orderBy("level", F.col("source").isNull(), "source").rowsBetween(Window.unboundedPreceding, 0)
+    name = [F.col("source").isNull().asc(), F.col("source").asc()]
     table = F.array(*[F.lit(float(w)) for w in weights])
-    ranked = stats.withColumn("weight", F.element_at(table, ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int")))
-    ranked = (
-        ranked.withColumn("cap", F.col("source_size") * F.lit(float(at_most)))
-        .withColumn("level", F.col("cap") / F.col("weight"))
-        .withColumn("total", F.sum("source_size").over(every) * F.lit(float(share)))
-        .withColumn("cap_run", F.sum("cap").over(by_level) - F.col("cap"))
-        .withColumn("weight_left", F.sum("weight").over(every) - F.sum("weight").over(by_level) + F.col("weight"))
-        .withColumn("fill", (F.col("total") - F.col("cap_run")) / F.col("weight_left"))
-        # The first source whose fill is not above its own level sets the water; later fills are not above it.
-        .withColumn("open_fill", F.when(F.col("fill") <= F.col("level"), F.col("fill")))
-        .withColumn("water", F.max("open_fill").over(every))
-    )
-    target = F.when(F.col("water").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("weight") * F.col("water")))
-    return ranked.select("source", "source_size", "n_rows", target.alias("target"))
+    weighted = ranked(stats, [], name).withColumn("weight", F.element_at(table, (F.col("place") % len(weights) + 1).cast("int")))
+    weighted = weighted.select("source", "source_size", "n_rows", "weight", (F.col("source_size") * F.lit(float(at_most))).alias("cap"))
+    summed = running(weighted.withColumn("level", F.col("cap") / F.col("weight")), [F.col("level").asc(), *name], {"cap_run": "cap", "weight_run": "weight"})
+    whole = summed.agg(F.sum("weight").alias("weights"), (F.sum("source_size") * F.lit(float(share))).alias("total")).first()  # two numbers
+    fill = (F.lit(whole["total"]) - F.col("cap_run") + F.col("cap")) / (F.lit(whole["weights"]) - F.col("weight_run") + F.col("weight"))
+    # The first source whose fill is not above its own level sets the water; later fills are not above it.
+    water = summed.select(fill.alias("fill"), "level").where("fill <= level").agg(F.max("fill").alias("water")).first()["water"]
+    target = F.col("cap") if water is None else F.least("cap", F.col("weight") * F.lit(water))
+    return summed.select("source", "source_size", "n_rows", target.alias("target"))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -88,17 +83,17 @@ def _dealt(docs: DataFrame, weights: tuple[int, ...], share: float, at_most: flo
     starts = cells.alias("c").join(blocks.alias("b"), same("c", "b", key[:3])).select(
         *[F.col(f"c.{x}") for x in key], (F.col("b0") + F.col("c0")).alias("start"), "source_size", "target"
     )
-    ranked = placed.alias("d").join(starts.alias("s"), same("d", "s", key)).select("d.*", "start", "source_size", "target")
+    spots = placed.alias("d").join(starts.alias("s"), same("d", "s", key)).select("d.*", "start", "source_size", "target")
     inside = before(Window.partitionBy(*key).orderBy("size", "doc_id", "k1", "k2", "chunk"))
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    ranked = materialise(ranked.select("doc_id", "source", "size", "k1", "k2", "rows", "source_size", "target", each.alias("each"), (F.col("start") + inside).alias("first")))
+    spots = materialise(spots.select("doc_id", "source", "size", "k1", "k2", "rows", "source_size", "target", each.alias("each"), (F.col("start") + inside).alias("first")))
     # Of DRAWS random offsets a source takes the one that brings its words nearest to its target.
     offsets = [F.pmod(F.xxhash64(F.lit(seed + i), "source"), F.lit(1 << 20)) / (1 << 20) for i in range(DRAWS)]
     taken = [F.sum(F.col("size") * _crossings(o)).alias(f"t{i}") for i, o in enumerate(offsets)]
-    off = ranked.groupBy("source", "target").agg(*taken)
+    off = spots.groupBy("source", "target").agg(*taken)
     best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"t{i}") - F.col("target")).alias("miss"), F.lit(i).alias("draw"), o.alias("offset")) for i, o in enumerate(offsets)]))
     off = off.select(F.col("source").alias("of"), best["offset"].alias("offset"))
-    return ranked.join(off, F.expr("source <=> of")).drop("of")
+    return spots.join(off, F.expr("source <=> of")).drop("of")
 
 
 def _crossings(offset: Column) -> Column:

@@ -151,7 +151,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float =
 
     Rows link when their labels are equal and not null, their vectors are of one length, and the cosine of these, in double
     precision, is at least ``cosine``.
-    Equal vectors of a label are one class, with a number of rows; classes are compared, so copies never make pairs.
+    Equal vectors of a label are one class, with a number of rows; classes are compared, so copies never make pairs. A class is known by
+    128 bits of hashes, and 64 more stop the job if different vectors ever have these in common.
     Per label and length, tables of k projections each cut the vectors into cells (k and the number of tables follow its
     size and the recall wanted); in a cell, collisions of query-centred windows over COUNTED sorted projections are
     counted for each pair, and pairs that reach the calibrated count are verified exactly. Cells of more than CHUNK
@@ -163,13 +164,17 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float =
     """
     spark = vectors.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = vectors.select("vec_id", "embedding", "label").withColumn("_c", F.when(is_valid(F.col("embedding")) & F.col("label").isNotNull(), F.xxhash64("label", "embedding")))
-    slim = rows.select("vec_id", "_c")
-    valid = rows.where("_c IS NOT NULL")
+    able = is_valid(F.col("embedding")) & F.col("label").isNotNull()
+    keys = [F.when(able, F.xxhash64(F.lit(k), "label", "embedding")).alias(f"_h{k}") for k in range(3)]
+    rows = vectors.select("vec_id", "embedding", "label", *keys)
+    slim = rows.select("vec_id", "_h0", "_h1")
+    valid = rows.where("_h0 IS NOT NULL")
     if valid.isEmpty():
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    classes = valid.groupBy("_c").agg(F.first("label").alias("label"), F.first("embedding").alias("v"), F.count("*").alias("mult"), F.min("vec_id").alias("least"))
-    classes = materialise(classes)
+    # Two hashes name a class, a third one tells if two vectors have both in common.
+    mult = F.when(F.min("_h2") == F.max("_h2"), F.count("*")).otherwise(F.raise_error(F.lit("different vectors with equal hashes")).cast("long"))
+    classes = valid.groupBy("_h0", "_h1").agg(F.first("label").alias("label"), F.first("embedding").alias("v"), mult.alias("mult"), F.min("vec_id").alias("least"))
+    classes = materialise(classes.withColumn("_c", F.monotonically_increasing_id()))
     sizes = classes.groupBy(F.col("label").alias("l"), F.size("v").alias("d")).agg(F.count("*").alias("n"))
     placed = classes.join(sizes, F.expr("label = l AND size(v) = d")).select(F.xxhash64("l", "d").alias("l"), "n", "_c", "mult", "v")
     fields = "cell long, l long, n long, d int, tab int, c long, mult long, v binary"
@@ -242,11 +247,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float =
     found = materialise(dealt.mapInArrow(compare, "a long, b long, m long"))
     links = found.where("b IS NULL").groupBy("a").agg(F.sum("m").alias("others"))
     labels = components(found.where("b IS NOT NULL").select("a", "b"))
-    named = classes.select("_c", "mult", "least").join(links, F.expr("_c = a"), "left").join(labels, F.expr("_c = node"), "left")
-    named = materialise(named.select("_c", "least", (F.coalesce("others", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "_c").alias("comp")))
+    named = classes.select("_c", "_h0", "_h1", "mult", "least").join(links, F.expr("_c = a"), "left").join(labels, F.expr("_c = node"), "left")
+    named = materialise(named.select("_h0", "_h1", "least", (F.coalesce("others", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "_c").alias("comp")))
     leads = named.groupBy("comp").agg(F.min("least").alias("lead"))
-    known = named.join(leads, "comp").select(F.col("_c").alias("_k"), "n_links", "lead")
-    out = slim.join(known, F.expr("_c = _k"), "left")
+    known = named.join(leads, "comp").select(F.col("_h0").alias("_k0"), F.col("_h1").alias("_k1"), "n_links", "lead")
+    out = slim.join(known, F.expr("_h0 = _k0 AND _h1 = _k1"), "left")
     component = F.coalesce(F.col("lead"), F.col("vec_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
 

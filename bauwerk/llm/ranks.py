@@ -1,4 +1,4 @@
-"""Places of rows in an order, over the whole table or within groups, without a task that holds a group."""
+"""Places of rows in an order, and running sums along it, without a task that holds a group or the table."""
 
 from __future__ import annotations
 
@@ -35,3 +35,19 @@ def ranked(rows: DataFrame, groups: list[str], order: list[Column]) -> DataFrame
     for g, n in zip(groups, names):
         meet &= F.col(g).eqNullSafe(F.col(n))
     return put.drop("size").join(runs, meet).select(*[c for c in rows.columns if c not in ("place", "size")], (F.col("_at") + F.col("_at_shift")).alias("place"), "size")
+
+
+def running(rows: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
+    """rows with, for each name in sums, the sum of its column over the row and all rows before it in the order.
+
+    Built like ranked(): a task sums up its range, and one row a range carries what is before it. Sums are taken in ranges, so
+    fractions may round in another way than in one walk. Give an order without ties. Columns that begin with _at or _g are replaced.
+    """
+    put = materialise(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    put = put.withColumn("_at_range", F.shiftright("_at", _ROW_BITS))
+    ranges = put.groupBy("_at_range").agg(*[F.sum(c).alias(f"_at_{n}") for n, c in sums.items()])
+    before = Window.orderBy("_at_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select(F.col("_at_range").alias("_g_range"), *[F.coalesce(F.sum(f"_at_{n}").over(before), F.lit(0)).alias(f"_g_{n}") for n in sums])
+    inside = Window.partitionBy("_at_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    local = put.select("*", *[F.sum(c).over(inside).alias(f"_at_{n}") for n, c in sums.items()])
+    return local.join(ranges, F.col("_at_range") == F.col("_g_range")).select(*[c for c in rows.columns if c not in sums], *[(F.col(f"_g_{n}") + F.col(f"_at_{n}")).alias(n) for n in sums])

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from bauwerk.llm import compression, crf, labelled
 
@@ -181,3 +182,13 @@ def test_the_sample_takes_null_texts_and_leaves_out_very_long_ones(spark):
     known = {i for i in (1, 2, 3, 4) if fold(i) != 0}
     assert sum(counts.values()) == len(known)
     assert sorted(t for t, _ in sample) == sorted({1: b"", 2: b"x" * 50, 4: b"y"}[i] for i in known - {3})
+
+
+def test_an_id_in_100000_rows_brings_few_of_them(spark):
+    docs = spark.range(100_000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text")).unionByName(spark.createDataFrame([(2, "b"), (2, None), (3, "c")], "doc_id long, text string"))
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 0)], "doc_id long, quality int")
+    kept = {r.doc_id for r in labelled.training_rows(labels, "quality").collect()}
+    texts, counts = labelled.labelled_sample(docs, labels, "quality", {0: 10, 1: 10})
+    assert sum(counts.values()) == len(kept)
+    assert len(texts) == labelled.ROWS * (1 in kept) + 2 * (2 in kept) + (3 in kept)
+    assert texts == labelled.labelled_sample(docs.repartition(5), labels, "quality", {0: 10, 1: 10})[0]

@@ -2,6 +2,7 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from bauwerk.llm import mixing
 
@@ -92,3 +93,21 @@ def test_empty_table(spark):
 def test_every_source_empty(spark):
     docs = spark.createDataFrame([(1, "", "a", "", 1), (2, None, None, "", 1)], SCHEMA)
     assert [(r.target, r.copies) for r in mixing.mix_copies(docs).collect()] == [(0.0, 0), (0.0, 0)]
+
+
+def test_targets_of_100000_sources(spark):
+    """As many sources as rows: targets come from ranges of sources, and agree with filling up source by source."""
+    n = 100_000
+    stats = spark.range(n).select(F.concat(F.lit("s"), F.format_string("%06d", "id")).alias("source"), F.lit(1).cast("long").alias("n_rows"), (1 + F.col("id") * 7919 % 1000).alias("source_size"))
+    got = {r.source: r.target for r in mixing.source_targets(stats.repartition(7), [3, 1, 2], 1.5, 2.0).collect()}
+    sizes = {f"s{i:06d}": 1 + i * 7919 % 1000 for i in range(n)}
+    assert len(got) == n and abs(sum(got.values()) - 1.5 * sum(sizes.values())) < 1
+    caps = sorted((2.0 * size / (3, 1, 2)[i % 3], 2.0 * size, (3, 1, 2)[i % 3]) for i, size in enumerate(sizes.values()))
+    left, weight = 1.5 * sum(sizes.values()), sum(w for *_, w in caps)
+    for level, cap, w in caps:
+        if left / weight <= level:
+            break
+        left, weight = left - cap, weight - w
+    water = left / weight
+    assert all(got[s] == pytest.approx(min(2.0 * size, (3, 1, 2)[i % 3] * water)) for i, (s, size) in enumerate(sizes.items()))
+    assert mixing.source_targets(stats.where("false"), [3, 1, 2], 1.5, 2.0).count() == 0

@@ -166,3 +166,22 @@ def test_nearest_of_every_length(spark):
         want |= brute([r for r in rows if len(r[1]) == d], 5)
     assert {q: len(found) for q, found in got.items()} == {q: len(found) for q, found in want.items()}
     assert all([i for i, _ in got[q]] == [i for i, _ in want[q]] for q in short)
+
+
+def test_planted_links_around_the_threshold(spark):
+    """6,000 vectors of one label, more than a cell holds, with pairs planted at cosines from 0.90 to 0.99."""
+    rng = np.random.default_rng(21)
+    x = rng.standard_normal((6_000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for i in range(0, 3_000, 2):
+        cosine = rng.uniform(0.90, 0.99)
+        side = rng.standard_normal(32)
+        side -= (side @ x[i]) * x[i]
+        x[i + 1] = cosine * x[i] + np.sqrt(1 - cosine**2) * side / np.linalg.norm(side)
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)]
+    got = {r.vec_id: r.n_links for r in neardup.near_duplicates(table(spark, rows)).collect()}
+    u = np.array([r[1] for r in rows], float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    want = (u @ u.T >= 0.93).sum(axis=1) - 1
+    found = sum(got[i] for i in range(len(u)))
+    assert all(got[i] <= want[i] for i in range(len(u))) and found >= 0.995 * want.sum() and want.sum() > 1_500
