@@ -88,7 +88,9 @@ _written: dict[str, SparkSession] = {}
 
 
 def _delete(path: str) -> None:
-    spark = _written.pop(path)
+    spark = _written.pop(path, None)
+    if spark is None:
+        return
     if spark.sparkContext._jsc is not None:
         target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
@@ -97,7 +99,8 @@ def _delete(path: str) -> None:
 
 
 @atexit.register
-def _delete_all() -> None:
+def release_all() -> None:
+    """Remove all written tables, whoever owns them."""
     for path in list(_written):
         _delete(path)
 
@@ -237,4 +240,4 @@ def register_views(tables: Tables, prefix: str = "boq_") -> list[str]:
     return names
 
 
-__all__ = ["Tables", "export_documents", "leaf_totals", "parse_documents", "parse_pdfs", "parse_text", "placeholder_rows", "raw_pdfs", "recover_placeholders", "register_views", "repair_references"]
+__all__ = ["Tables", "export_documents", "leaf_totals", "parse_documents", "parse_pdfs", "parse_text", "placeholder_rows", "raw_pdfs", "recover_placeholders", "register_views", "release_all", "repair_references"]
