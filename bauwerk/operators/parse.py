@@ -97,7 +97,10 @@ def segments(cut: DataFrame) -> DataFrame:
         "doc_id", "page", "parser", F.coalesce(F.sum("n_heads").over(forward), F.lit(0)).cast("int").alias("before"),
         F.coalesce(F.last(F.when(F.col("n_heads") > 0, F.col("page")), True).over(backward), last, F.lit(1)).alias("after"),
     )
-    rows = cut.drop("content").join(counts, ["doc_id", "page", "parser"]).select("doc_id", "page", "parser", "n_heads", "before", "after", F.posexplode("pieces").alias("k", "p"))
+    # Pages are dealt out by document and page already, so the counts of a page's parsers come to it in one row, and pieces stay where they are.
+    known = counts.groupBy("doc_id", "page").agg(F.map_from_entries(F.collect_list(F.struct("parser", F.struct("before", "after")))).alias("known"))
+    rows = cut.drop("content").join(known, ["doc_id", "page"]).select("doc_id", "page", "parser", "n_heads", F.col("known")[F.col("parser")].alias("c"), "pieces")
+    rows = rows.select("doc_id", "page", "parser", "n_heads", "c.before", "c.after", F.posexplode("pieces").alias("k", "p"))
     ends = F.col("k") < F.col("n_heads")
     rows = rows.select(
         "doc_id", "parser", (F.col("before") + F.col("k")).alias("seg"), "p.head", "p.body", F.when(ends, F.col("page")).otherwise(F.col("after")).alias("page_end"),

@@ -1,6 +1,5 @@
 """Long documents, leaves and pages, and the folds and searches against plain versions of theirs."""
 
-import itertools
 import random
 import re
 from decimal import Decimal
