@@ -87,7 +87,7 @@ class FileWriter(DataSourceArrowWriter):
 
 
 class FileSink(DataSource):
-    """Options: path, a folder; suffix, the files' ending; folders, by how many digits of the digest the files are dealt out to folders,
+    """Options: path, a folder in a store that pyarrow opens from every task; suffix, the files' ending; folders, by how many digits of the digest the files are dealt out to folders,
     for very many documents. Rows: doc_id string, content string."""
 
     @classmethod
