@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,8 +39,16 @@ except (OSError, AttributeError):  # another C library
     _trim = None
 
 
+_stages: set[int] = set()
+
+
 def give_back() -> None:
-    """Return what a block has freed to the system: workers live on, and what they keep counts beside the next stage's needs."""
+    """Return what earlier stages have freed in this worker to the system, once a stage: workers live on, and what they keep counts beside
+    what this stage needs. Within a stage it is kept, as the next block needs it again."""
+    task = TaskContext.get()
+    if task is None or task.stageId() in _stages:
+        return
+    _stages.add(task.stageId())
     pa.default_memory_pool().release_unused()
     if _trim:
         _trim(0)
@@ -119,6 +128,7 @@ def read_blocks(batches: Iterator[pa.RecordBatch], coder: Callable[[], object])
     """Blocks of the partition. Batches have columns key, mark, text, part; each block has a coder of its own, which
     gives a text's codes, and in the end all codes and its words. A null text has no words. A block is named by the scan's partition,
     which part tells: under a union, a task's own number is another."""
+    give_back()
     base, made = 0, 0
     own = coder()
     none = np.zeros(0, np.int32)
@@ -143,7 +153,6 @@ def read_blocks(batches: Iterator[pa.RecordBatch], coder: Callable[[], object])
                 yield close()
                 made += 1
                 own, parts, ids, marks, chars = coder(), [], [], [], 0
-                give_back()
     if ids:
         yield close()
 
@@ -260,6 +269,7 @@ def arrow_type(t: T.DataType) -> pa.DataType:
 def by_block(batches: Iterator[pa.RecordBatch], start: Callable[[], object], learn: Callable, use: Callable):
     """Drive a task of meet(): state = start() for each block, learn(state, a, b, c) for rows of kind 0,
     use(state, batch slice) for the documents. Yields what use returns."""
+    give_back()
     block, state, check = None, None, None
     for batch in batches:
         numbers, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -269,7 +279,6 @@ def by_block(batches: Iterator[pa.RecordBatch], start: Callable[[], object], lea
                 continue
             if numbers[lo] != block:
                 block, state, check = numbers[lo], start(), None
-                give_back()
             part = batch.slice(lo, hi - lo)
             checks = set(part.column(2).to_pylist()) | ({check} if check is not None else set())
             if len(checks) > 1:
