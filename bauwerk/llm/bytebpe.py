@@ -227,6 +227,7 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     shared = encoded.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):
+        blocks.give_back()
         table = shared.value.token_bytes()
         length = np.fromiter(map(len, table), np.int64, len(table))
         start, data = np.cumsum(length) - length, np.frombuffer(b"".join(table), np.uint8)
