@@ -34,6 +34,8 @@ GATHERED = 1_000_000
 #: Queries of which a task holds results before it sends them on.
 MERGED = 50_000
 K = 20
+#: Rows that are held against all centroids, or queries against the whole sample, at once: a block of distances stays within tens of MB.
+BLOCK = 512
 SEED = 17
 
 
@@ -54,6 +56,10 @@ class Index:
 
     def places(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, list) of all copies: each vector's nearest list and near ones across a boundary."""
+        found = [self._places(x[lo : lo + BLOCK]) for lo in range(0, max(1, len(x)), BLOCK)]
+        return np.concatenate([rows + k * BLOCK for k, (rows, _) in enumerate(found)]), np.concatenate([lists for _, lists in found])
+
+    def _places(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         d = self.distances(self.lifted(x))
         c = min(COPIES, d.shape[1])
         near = np.argpartition(d, c - 1, axis=1)[:, :c]
@@ -88,6 +94,12 @@ class Index:
         return [*[c for d, c in found if d <= best * ratio], len(self.centroids)]
 
 
+def _nearer(part: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether each row is at least as near to a as to b."""
+    blocks = [part[lo : lo + 16 * BLOCK] for lo in range(0, len(part), 16 * BLOCK)]
+    return np.concatenate([((x - a) ** 2).sum(axis=1) <= ((x - b) ** 2).sum(axis=1) for x in blocks])
+
+
 def balanced_centroids(x: np.ndarray, leaf: int, rng: np.random.Generator) -> np.ndarray:
     """Means of equal parts: each part is cut at the median along the line between the centres of two clusters."""
     stack, means = [np.arange(len(x))], []
@@ -99,7 +111,7 @@ def balanced_centroids(x: np.ndarray, leaf: int, rng: np.random.Generator) -> np
         part = x[rows]
         a, b = part[rng.choice(len(part), 2, replace=False)]
         for _ in range(6):
-            near_a = ((part - a) ** 2).sum(axis=1) <= ((part - b) ** 2).sum(axis=1)
+            near_a = _nearer(part, a, b)
             if near_a.all() or not near_a.any():
                 break
             a, b = part[near_a].mean(axis=0), part[~near_a].mean(axis=0)
@@ -118,9 +130,11 @@ def fit(sample: np.ndarray, n: int, k: int = K, recall: float = RECALL, seed: in
     centroids = balanced_centroids(lifted, LEAF, rng)
     degree = min(24, len(centroids) - 1)
     square = (centroids**2).sum(axis=1)
-    d = square[:, None] - 2 * centroids @ centroids.T + square
-    np.fill_diagonal(d, np.inf)
-    graph = np.argsort(d, axis=1, kind="stable")[:, :degree]
+    graph = np.zeros((len(centroids), degree), int)
+    for lo in range(0, len(centroids), BLOCK):
+        d = square[lo : lo + BLOCK, None] - 2 * centroids[lo : lo + BLOCK] @ centroids.T + square
+        d[np.arange(len(d)), np.arange(lo, lo + len(d))] = np.inf
+        graph[lo : lo + BLOCK] = np.argsort(d, axis=1, kind="stable")[:, :degree]
     # Links both ways and to the next centroid keep every centroid reachable.
     both = [set(r.tolist()) for r in graph]
     for i, r in enumerate(graph):
@@ -133,23 +147,28 @@ def fit(sample: np.ndarray, n: int, k: int = K, recall: float = RECALL, seed: in
     index = Index(centroids, graph, norm, 1.0)
     queries = sample[rng.choice(len(sample), min(500, len(sample)), replace=False)]
     rows, place = index.places(sample)
-    own = [set() for _ in sample]
-    for r, p in zip(rows.tolist(), place.tolist()):
-        own[r].add(p)
-    scores = queries @ sample.T
+    order = np.argsort(rows, kind="stable")
+    place, starts = place[order], np.searchsorted(rows[order], np.arange(len(sample) + 1))
     points = np.c_[queries / np.maximum(1e-300, np.sqrt((queries**2).sum(axis=1, keepdims=True))) * norm, np.zeros(len(queries))]
     far = index.distances(points)
     far = np.c_[far / np.maximum(far.min(axis=1, keepdims=True), 1e-9), np.zeros(len(far))]
     needed = []
     deep = math.ceil(k * len(sample) / max(n, len(sample)))
-    for q, s in enumerate(scores):
+    for q, s in _scores(queries, sample):
         top = np.argpartition(-s, min(deep, len(s) - 1))[: deep + 1]
         top = top[np.argsort(-s[top], kind="stable")][1:] if len(top) > 1 else top  # the query itself is no neighbour
-        needed += [min(far[q, p] for p in own[t]) for t in top.tolist()]
+        needed += [far[q, place[starts[t] : starts[t + 1]]].min() for t in top.tolist()]
     index.ratio = max(1.0, float(np.quantile(needed, recall))) * 1.0001
     return index
 
 
+def _scores(queries: np.ndarray, sample: np.ndarray):
+    """(number, inner products with the sample) of each query, a few at a time."""
+    step = max(1, 4 * 1024 * BLOCK // max(1, len(sample)))
+    for lo in range(0, len(queries), step):
+        yield from enumerate(queries[lo : lo + step] @ sample.T, lo)
+
+
 def _ranked(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k largest scores of distinct ids, ties to the smaller id."""
     order = np.lexsort((ids, -scores))

@@ -185,3 +185,20 @@ def test_planted_links_around_the_threshold(spark):
     want = (u @ u.T >= 0.93).sum(axis=1) - 1
     found = sum(got[i] for i in range(len(u)))
     assert all(got[i] <= want[i] for i in range(len(u))) and found >= 0.995 * want.sum() and want.sum() > 1_500
+
+
+def test_fit_holds_blocks_of_distances(monkeypatch):
+    # All distances to 512 centroids would be 134 MB, the products of all 500 queries 131 MB.
+    import tracemalloc
+
+    x = np.random.default_rng(6).standard_normal((32_768, 8))
+    tracemalloc.start()
+    index = postings.fit(x, 10 * len(x))
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 64e6
+    some = x[:1_500]
+    at, where = index.places(some)
+    monkeypatch.setattr(postings, "BLOCK", 10_000)
+    whole = index.places(some)
+    assert set(zip(at.tolist(), where.tolist())) == set(zip(whole[0].tolist(), whole[1].tolist()))
