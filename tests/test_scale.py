@@ -189,3 +189,12 @@ def test_a_document_of_a_million_lines(spark):
     cut = parse.segments(parse.cut_pages(read, {parse.MAIN: parse.kind}))
     got = cut.groupBy(F.size("body").alias("n"), (F.col("page_end") - F.col("head.page")).alias("over")).count().collect()
     assert {(r.n, r.over): r["count"] for r in got} == {(9, None): 1, (49, 1): pages - 1, (40, 0): 1}
+
+
+def test_images_ask_for_few_bins(spark):
+    # Asking for bins of all 31 sizes would make 31 rows of each image, in a table that Spark takes for small and sends to every task.
+    refs = spark.createDataFrame([("d", 1, "o", 1, 3)], "doc_id string, seq int, oz string, page_from int, page_to int")
+    shots = spark.createDataFrame([("d", k) for k in range(4)], "doc_id string, page int")
+    got = images._covered(shots, refs.selectExpr("doc_id", "page_from AS a", "page_to AS b"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert [r.page for r in got.orderBy("page").collect()] == [1, 2, 3] and "Broadcast" not in plan
