@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from bauwerk.functions import arrays as A
 from bauwerk.functions import patterns as P
 from bauwerk.operators import images, layout, parse, placeholder, repair, subtotals
+from bauwerk.plans import pipeline
 from bauwerk.schema import POSITIONS
 
 BASE = {"doc_id": "d", "leaf_oz": "01.01.01", "short_text": "", "long_text": "", "provisional": False, "price_only": False}
@@ -198,3 +199,33 @@ def test_images_ask_for_few_bins(spark):
     got = images._covered(shots, refs.selectExpr("doc_id", "page_from AS a", "page_to AS b"))
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert [r.page for r in got.orderBy("page").collect()] == [1, 2, 3] and "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("whole", [0, 60, 10**6])
+def test_documents_cut_in_their_rows_are_cut_as_pages_are(spark, monkeypatch, whole):
+    rng = random.Random(11)
+    parts = ["01.01.01.010 1,000 m 2,00 €", "01.01.__.020 x", "01.01 Titel", "Summe 01.01 1,00 €", "Angebot", "", " ", " text  b", "\f", "\f", "\n", "\r\n", "\n"]
+    texts = [(f"d{k}", "s", "".join(rng.choice(parts) for _ in range(rng.randint(0, 25)))) for k in range(80)] + [("null", "s", None), ("empty", "s", ""), ("pages", "s", "\f\f\n")]
+    frame = spark.createDataFrame(texts, "doc_id string, source string, text string")
+    kinds = {parse.MAIN: parse.kind, parse.PLACEHOLDER: placeholder.kind}
+    monkeypatch.setattr(parse, "WHOLE", whole)
+    seen = lambda rows: sorted(map(repr, rows.collect()))
+    names = ["doc_id", "parser", "seg", "head", "body", "page_end"]
+    assert seen(parse.all_segments(frame, kinds).select(names)) == seen(parse.segments(parse.cut_pages(parse.pages(frame), kinds)).select(names))
+    names = ["doc_id", "page", "line_no", "raw", "line"]
+    assert seen(parse.all_lines(frame).select(names)) == seen(parse.lines(frame).select(names))
+
+
+def test_positions_of_short_documents_need_no_shuffle(spark):
+    frame = spark.createDataFrame([("d", "s", "01.01.01.010 1,000 m 2,00 €\n")], "doc_id string, source string, text string")
+    found = parse.read_positions(parse.whole_segments(frame, {parse.MAIN: parse.kind}))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and found.count() == 1
+
+
+def test_stages_keep_no_rows_uncompressed(spark):
+    frame = spark.createDataFrame([("d", "s", "01.01.01.010 1,000 m 2,00 €\n")], "doc_id string, source string, text string")
+    kept = lambda: spark.sparkContext._jsc.getPersistentRDDs().size()
+    before, tables = kept(), pipeline.parse_documents(frame)
+    assert [tables[name].count() for name in ("documents", "positions", "nodes", "warnings")] == [1, 1, 3, 1] and kept() == before
+    tables.release()
