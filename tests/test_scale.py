@@ -229,3 +229,14 @@ def test_stages_keep_no_rows_uncompressed(spark):
     before, tables = kept(), pipeline.parse_documents(frame)
     assert [tables[name].count() for name in ("documents", "positions", "nodes", "warnings")] == [1, 1, 3, 1] and kept() == before
     tables.release()
+
+
+def test_sums_of_levels_need_one_row_an_item(spark):
+    # A rollup makes five rows of each position before they are summed up.
+    items = [BASE | {"doc_id": d, "seq": k, "oz_key": [k], "oz": f"0{k % 2}.0{k % 3}.01.{k:03d}", "total_price": Decimal(k)} for d in ("a", "b") for k in range(7)]
+    frame = spark.createDataFrame(items, POSITIONS)
+    got = subtotals.subtotal_report(frame)
+    assert "Expand" not in got._jdf.queryExecution().executedPlan().toString()
+    plain = frame.selectExpr("doc_id", "substr(oz, 1, 2) AS oz1", "substr(oz, 1, 5) AS oz2", "substr(oz, 1, 8) AS oz3", "total_price").rollup("doc_id", "oz1", "oz2", "oz3").agg(F.sum("total_price").alias("total"), F.count("*").alias("n"))
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, plain.collect())) and got.dtypes == plain.dtypes
+    assert subtotals.subtotal_report(frame.limit(0)).count() == 0
