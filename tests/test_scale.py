@@ -12,6 +12,7 @@ from bauwerk.functions import patterns as P
 from bauwerk.operators import images, layout, parse, placeholder, repair, subtotals
 from bauwerk.plans import pipeline
 from bauwerk.schema import POSITIONS
+from bauwerk.sinks import export
 
 BASE = {"doc_id": "d", "leaf_oz": "01.01.01", "short_text": "", "long_text": "", "provisional": False, "price_only": False}
 
@@ -240,3 +241,26 @@ def test_sums_of_levels_need_one_row_an_item(spark):
     plain = frame.selectExpr("doc_id", "substr(oz, 1, 2) AS oz1", "substr(oz, 1, 5) AS oz2", "substr(oz, 1, 8) AS oz3", "total_price").rollup("doc_id", "oz1", "oz2", "oz3").agg(F.sum("total_price").alias("total"), F.count("*").alias("n"))
     assert sorted(map(repr, got.collect())) == sorted(map(repr, plain.collect())) and got.dtypes == plain.dtypes
     assert subtotals.subtotal_report(frame.limit(0)).count() == 0
+
+
+def _two_documents(spark):
+    text = "Vorwort\n01 Bereich eins\n01.01 Titel\n01.01.01.010 1,000 m 2,00 € 2,00 €\n  Kurz\nLang\n01.01.01.020 1,000 m 2,00 € 2,00 €\n  Kurz\nSumme 01.01.01 Titel 4,00 €\n"
+    return spark.createDataFrame([("a", "a.pdf", text), ("b", "b.pdf", text)], "doc_id string, source string, text string")
+
+
+def test_read_positions_leave_no_second_copy_of_their_texts(spark):
+    tables = pipeline.parse_documents(_two_documents(spark))
+    assert tables["positions"].count() == 4
+    assert tables["segments"].where("head.kind = 'position' AND size(body) > 0").count() == 0
+    assert {r.preamble for r in tables["documents"].collect()} == {"Vorwort"}
+    assert {(r.oz, r.title) for r in tables["nodes"].collect()} == {("01", "Bereich eins"), ("01.01", "Titel"), ("01.01.01", "")}
+    tables.release()
+
+
+def test_exports_meet_by_document_only(spark):
+    read = pipeline.parse_text(_two_documents(spark), placeholders=False)
+    tables = {name: read[name].localCheckpoint() for name in ("nodes", "positions", "documents")}
+    made = export.exchange_xml(tables, "84", True, F.lit("2024-01-02 03:04:05").cast("timestamp"), allow_conflicts=True)
+    assert made._jdf.queryExecution().sparkPlan().toString().count("Join") <= 2  # a join a level and two for ids, before
+    xml = made.collect()[0].xml
+    assert [xml.count(x) for x in ("<BoQCtgy ", "</BoQCtgy>", "<Itemlist>", "</Itemlist>", "<Item ", "</Item>")] == [3, 3, 1, 1, 2, 2]
