@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from bauwerk.functions import arrays as A
 from bauwerk.functions import patterns as P
+from bauwerk.functions import text as X
 from bauwerk.operators import images, layout, parse, placeholder, repair, subtotals
 from bauwerk.plans import pipeline
 from bauwerk.schema import POSITIONS
@@ -264,3 +265,22 @@ def test_exports_meet_by_document_only(spark):
     assert made._jdf.queryExecution().sparkPlan().toString().count("Join") <= 2  # a join a level and two for ids, before
     xml = made.collect()[0].xml
     assert [xml.count(x) for x in ("<BoQCtgy ", "</BoQCtgy>", "<Itemlist>", "</Itemlist>", "<Item ", "</Item>")] == [3, 3, 1, 1, 2, 2]
+
+
+def test_an_amount_of_nothing_fits_beside_an_empty_half(spark):
+    found = [(i, str(i), Decimal(v), False) for i, v in enumerate(["0.00"] + ["5.00"] * 9)]
+    leaf = spark.createDataFrame([(found, Decimal("0.00"))], "found array<struct<seq: int, oz: string, value: decimal(18,2), gb: boolean>>, required decimal(38,2)")
+    assert subtotals.with_matching_subset(leaf, F.lit(True)).collect()[0].chosen == [0]
+
+
+def test_text_tests_as_before_they_were_one_pattern_each(spark):
+    lines = ["  Zulage zur Pos. 4", " BEZUG AUF POSITION", "x Zulage zu Position", " 1.000,00 Stk", "Stk 1,00 x", "\t Summe", "eine Titel Summe", "keine summe"]
+    told = spark.createDataFrame([(x,) for x in lines], "x string").select(*[f(F.col("x")) for f in (X.is_reference_text, X.is_price_line, X.is_sum_artifact)]).collect()
+    assert [[i for i, r in enumerate(told) if r[k]] for k in range(3)] == [[0, 1], [3], [5, 6]]
+    row = spark.range(1).select(*[X.attribute(F.lit(a), "top") for a in ("x top=\"top=\" top='2'", "top=\"1", "left='3' top='4'", "left=1")], subtotals.last_amount_offset(F.lit("ä € 10,00 € x 2,00 EUR")), subtotals.last_amount_offset(F.lit("ä")))
+    assert list(row.collect()[0]) == ["top=", None, "4", None, 19, -1]
+
+
+def test_layout_lines_are_read_by_one_pattern(spark):
+    plan = layout.bold_short_texts(spark.createDataFrame([("d", "")], "doc_id string, layout_xml string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") <= 1  # one for lines of fragments; the scan of each position's lines was another
